@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listforge.llm import mixing, phrases, quality, sharding, suffix, urls
+from listforge.llm import minhash, mixing, phrases, quality, sharding, suffix, urls
 from listforge.llm._common import table
 
 #: Fixed values of the URL query.
@@ -40,8 +40,12 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_bytes(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"), size=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op3_quality_rules, op4_sharding, op6_url_filters, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op3_quality_rules, op4_sharding, op6_url_filters, op9_suffix_dedup, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from listforge.llm._common import durable, input_bytes
 
 BLOCK_BYTES = 4 << 20
+#: Documents in a block at most; a place in a block takes PLACE_BITS bits.
+PLACE_BITS = 13
 BUCKET_BYTES = 8 << 20
 CHUNK = 1 << 20
 #: A null doc_id counts as later than all others.
@@ -200,12 +202,12 @@ def pack(docs: DataFrame, n_blocks: int) -> DataFrame:
     """block long, payload binary; partitioned by block, checkpointed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, made = TaskContext.get().partitionId() << 32, 0
+        base, made = TaskContext.get().partitionId() << 24, 0
         for batch in batches:
             sizes = np.array([0 if t is None else t for t in pa.compute.binary_length(batch.column(1)).to_pylist()], np.int64)
             begin, held = 0, 0
             for i, size in enumerate([*sizes, BLOCK_BYTES]):
-                if begin < i and held + size > BLOCK_BYTES or i == len(sizes) and begin < i:
+                if begin < i and (held + size > BLOCK_BYTES or i - begin >> PLACE_BITS or i == len(sizes)):
                     yield pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([pack_batch(batch.column(0).slice(begin, i - begin), batch.column(1).slice(begin, i - begin))], pa.binary())], ["block", "payload"])
                     begin, held, made = i, 0, made + 1
                 held += size
