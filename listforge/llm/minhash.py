@@ -15,8 +15,8 @@ bits, with all of its rows: any two rows of different groups that share a
 bucket meet this way, so no link that banding can see is lost (a pair at
 similarity 0.8 is missed with probability 5e-8).
 
-Groups are found by joins alone: each round hooks larger labels to smaller
-ones and shortens paths, until nothing changes.
+Groups are found by joins alone: each round gives a label the smallest label
+across a link, and halves chains of labels, until nothing changes.
 
 Edge cases: texts with fewer words than a shingle are their whole sequence as
 one shingle; null or blank texts have an empty set and are linked with
@@ -39,8 +39,10 @@ from listforge.llm._common import durable, input_bytes
 from listforge.llm.recurrence import BUCKET_BYTES, NULL_ID, PLACE_BITS, mix64, open_block, pack, word_hashes
 
 MINIMA, BANDS, BITS = 128, 32, 4
-#: How far below the threshold an estimate may be: five standard deviations at 0.8.
-SLACK = 0.18
+#: How far below the threshold an estimate may be: over four standard deviations at 0.8.
+SLACK = 0.16
+#: Members of its largest group that a split bucket's other rows meet first.
+RELAYS = 16
 
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -144,48 +146,59 @@ def confirmed(pairs: DataFrame, blocks: DataFrame, size: int, percent: int) -> D
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node that can be reached. edges: u, v."""
+    edges = durable(edges)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).union(edges.select("v", "u"))
     label = durable(nodes.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("label")))
-    edges = durable(edges)
     while True:
-        # Shorten: a label's own label, until labels are roots.
-        while True:
-            up = label.select(F.col("node").alias("label"), F.col("label").alias("root"))
-            shorter = durable(label.join(up, "label", "left").select("node", F.coalesce("root", "label").alias("label"), (F.coalesce("root", "label") < F.col("label")).alias("moved")))
-            moved = not shorter.filter("moved").isEmpty()
-            label = shorter.select("node", "label")
-            if not moved:
-                break
-        # Hook: across an edge between two trees the larger root takes the smaller as its label.
-        ends = edges.join(label.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u").join(label.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v").filter("lu <> lv")
-        hooks = durable(ends.select(F.greatest("lu", "lv").alias("node"), F.least("lu", "lv").alias("to")).groupBy("node").agg(F.min("to").alias("to")))
-        if hooks.isEmpty():
-            return label
-        label = durable(label.join(hooks, "node", "left").select("node", F.least(F.coalesce("to", "label"), "label").alias("label")))
+        of = lambda c, to: label.select(F.col("node").alias(c), F.col("label").alias(to))
+        # Each label takes the smallest label across an edge, or its own label; then twice that, so chains halve.
+        ends = edges.join(of("u", "lu"), "u").join(of("v", "lv"), "v").filter("lu <> lv").select(F.greatest("lu", "lv").alias("node"), F.least("lu", "lv").alias("to"))
+        hooks = ends.union(label.filter("label < node")).groupBy("node").agg(F.min("to").alias("to"))
+        twice = hooks.join(hooks.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select(F.col("node").alias("label"), F.coalesce("next", "to").alias("to"))
+        label = durable(label.join(twice, "label", "left").select("node", F.coalesce("to", "label").alias("label"), F.col("to").isNotNull().alias("moved")))
+        if label.filter("moved").isEmpty():
+            return label.select("node", "label")
+        label = label.select("node", "label")
 
 
 def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     """groups (row, label) after links (a, b) between rows."""
     side = lambda c, to: groups.select(F.col("row").alias(c), F.col("label").alias(to))
-    edges = links.join(side("a", "u"), "a").join(side("b", "v"), "b").filter("u <> v").select("u", "v").distinct()
-    if edges.isEmpty():
-        return groups
-    roots = components(edges)
+    roots = components(links.join(side("a", "u"), "a").join(side("b", "v"), "b").filter("u <> v").select("u", "v").distinct())
     return durable(groups.join(roots.withColumnRenamed("label", "root"), groups["label"] == roots["node"], "left").select("row", F.coalesce("root", "label").alias("label")))
 
 
-def settled(groups: DataFrame, pairs: DataFrame, blocks: DataFrame, size: int, percent: int) -> DataFrame:
-    """groups after every pair (a, b, score) between different groups has been tried, each row's likeliest first."""
+def settled(groups: DataFrame, pairs: DataFrame, blocks: DataFrame, size: int, percent: int, turns: tuple[int | None, ...]) -> DataFrame:
+    """groups after pairs (a, b, score) between different groups have been tried: each row's likeliest in turns of that many; None: all that are left."""
     side = lambda c, to: groups.select(F.col("row").alias(c), F.col("label").alias(to))
-    while True:
-        open_ = pairs.join(side("a", "la"), "a").join(side("b", "lb"), "b").filter("la <> lb")
-        best = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-        open_ = durable(open_.withColumn("turn", F.row_number().over(best)).select("a", "b", "score", "turn"))
-        now = open_.filter("turn = 1").select("a", "b")
+    for most in turns:
+        open_ = pairs.join(side("a", "la"), "a").join(side("b", "lb"), "b").filter("la <> lb").select("a", "b", "score")
+        if most is not None:
+            best = Window.partitionBy("a").orderBy(F.desc("score"), "b")
+            open_ = durable(open_.withColumn("turn", F.row_number().over(best)))
+            pairs, now = open_.filter(F.col("turn") > most), open_.filter(F.col("turn") <= most)
+        else:
+            now = durable(open_)
         if now.isEmpty():
-            return groups
-        groups = merged(groups, confirmed(now, blocks, size, percent))
-        pairs = open_.filter("turn > 1").select("a", "b", "score")
+            break
+        groups = merged(groups, confirmed(now.select("a", "b"), blocks, size, percent))
+    return groups
+
+
+def split_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, row, sketch, label, top: members of buckets of several groups; top is the bucket's largest."""
+    labelled = members.select("key", "row", "sketch").join(groups, "row")
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("top")).filter("parts > 1").select("key", F.col("top.label").alias("top"))
+    return durable(labelled.join(split, "key"))
+
+
+def meets(outer: DataFrame, inner: DataFrame, likely: Column) -> DataFrame:
+    """Distinct pairs a, b, score of rows in a shared bucket; likely: on x, y."""
+    x = outer.select("key", F.col("row").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("x"))
+    y = inner.select(F.col("key").alias("key_b"), F.col("row").alias("b"), F.col("label").alias("lb"), F.col("top").alias("top"), F.col("sketch").alias("y"))
+    met = x.join(y, (F.col("key") == F.col("key_b")) & (F.col("la") != F.col("lb")) & ((F.col("a") < F.col("b")) | (F.col("lb") == F.col("top"))) & likely)
+    return durable(met.groupBy("a", "b").agg(F.first(estimate(F.col("x.bits"), F.col("y.bits"))).alias("score")))
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -194,28 +207,27 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     rows = features(blocks, size)
     heads = rows.filter("set_hash is not null").groupBy("set_hash").agg(F.min("row").alias("head"), F.min("doc_id").alias("least"))
     heads = durable(heads)
-    reps = durable(rows.join(heads.select(F.col("head").alias("row")), "row", "left_semi").select("row", "bands", "bits"))
-    banded = reps.select("row", F.explode("bands").alias("key"))
+    reps = durable(rows.join(heads.select(F.col("head").alias("row")), "row", "left_semi").select("row", "bands", F.struct("bits", F.col("n_shingles").alias("n")).alias("sketch")))
+    banded = reps.select("row", "sketch", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").select("key", "first")
-    members = durable(banded.join(shared, "key").select("key", "row", "first"))
-    bits = reps.select("row", "bits")
-    least = percent / 100 - SLACK
-    star = members.filter("row > first").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct()
-    star = star.join(bits.select(F.col("row").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("row").alias("b"), F.col("bits").alias("y")), "b")
-    star = durable(star.select("a", "b", estimate(F.col("x"), F.col("y")).alias("score")).filter(F.col("score") >= least))
+    members = durable(banded.join(shared, "key").select("key", "row", "sketch", "first"))
     groups = durable(members.select("row", F.col("row").alias("label")).distinct())
-    groups = settled(groups, star, blocks, size, percent)
-    # Buckets that are still split: what is outside the largest group meets all.
-    labelled = members.select("key", "row").join(groups, "row")
-    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    split = durable(sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("top")).filter("parts > 1").select("key", F.col("top.label").alias("top")))
-    if not split.isEmpty():
-        inside = durable(labelled.join(split, "key").join(bits, "row"))
-        outer = inside.filter("label <> top").select("key", F.col("row").alias("a"), F.col("label").alias("la"), F.col("bits").alias("x"))
-        meets = (F.col("la") != F.col("label")) & ((F.col("a") < F.col("row")) | (F.col("label") == F.col("top"))) & (estimate(F.col("x"), F.col("bits")) >= least)
-        cross = outer.join(inside.withColumnRenamed("key", "key2"), (F.col("key") == F.col("key2")) & meets)
-        cross = cross.select("a", F.col("row").alias("b"), estimate(F.col("x"), F.col("bits")).alias("score")).distinct()
-        groups = settled(groups, durable(cross), blocks, size, percent)
+    # Sets whose sizes differ too much cannot be alike, whatever the estimate.
+    sizes_fit = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    likely = sizes_fit & (estimate(F.col("x.bits"), F.col("y.bits")) >= percent / 100 - SLACK)
+    star = members.filter("row > first").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct()
+    sketch = lambda c, to: reps.select(F.col("row").alias(c), F.col("sketch").alias(to))
+    star = star.join(sketch("a", "x"), "a").join(sketch("b", "y"), "b").filter(likely)
+    star = star.select("a", "b", estimate(F.col("x.bits"), F.col("y.bits")).alias("score"))
+    groups = settled(groups, durable(star), blocks, size, percent, (1, None))
+    # Buckets that are still split: first against some of the largest group, which links most, then against all.
+    inside = split_buckets(members, groups)
+    if not inside.isEmpty():
+        turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "row"), "row"))
+        some = inside.filter("label = top").withColumn("turn", turn).filter(F.col("turn") <= RELAYS)
+        groups = settled(groups, meets(inside.filter("label <> top"), some, likely), blocks, size, percent, (4,))
+        inside = split_buckets(members, groups)
+        groups = settled(groups, meets(inside.filter("label <> top"), inside, likely), blocks, size, percent, (8, None))
     root = heads.join(groups, heads["head"] == groups["row"], "left").select("set_hash", F.coalesce("label", "head").alias("root"), "least")
     by_root = root.groupBy("root").agg(F.min("least").alias("component_id"))
     by_hash = root.join(by_root, "root").select("set_hash", "component_id")
