@@ -235,3 +235,9 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     real = lambda c: F.when(c != F.lit(int(NULL_ID)), c)
     component = F.coalesce("component_id", "doc_id")
     return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of docs for each group, columns unchanged; of rows that share the kept doc_id, any one."""
+    kept = near_groups(docs, size, percent).filter("kept or component_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])

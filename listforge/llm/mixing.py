@@ -122,3 +122,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     both = sure.unionByName(edge)
     copies = F.col("whole") + F.col("more")
     return both.select("doc_id", "source", "size", "source_size", "target", F.round("rate", 9).alias("rate"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, columns unchanged. Rows that share a doc_id are taken as often as the first of them."""
+    copies = mix(docs, weights).groupBy("doc_id").agg(F.first("copies").alias("copies")).filter("copies > 0").withColumnRenamed("doc_id", "taken_id")
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("taken_id")))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])

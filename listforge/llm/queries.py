@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listforge.llm import bpe, minhash, mixing, phrases, quality, sharding, suffix, urls
+from listforge.llm import bpe, minhash, mixing, phrases, pii, quality, sharding, suffix, urls
 from listforge.llm._common import table
 
 #: Fixed values of the URL query.
@@ -45,6 +45,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), size=2)
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), counted=True)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
@@ -52,7 +56,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op3_quality_rules, op4_sharding, op6_url_filters, op8_byte_bpe, op9_suffix_dedup, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op3_quality_rules, op4_sharding, op6_url_filters, op7_pii_surrogates, op8_byte_bpe, op9_suffix_dedup, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
