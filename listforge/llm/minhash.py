@@ -9,11 +9,12 @@ threshold are left. Every other pair whose rows are not in one group yet is
 confirmed on the full sets.
 
 No bucket is ever expanded into pairs. First each row meets its buckets'
-smallest rows. Once those links have been followed, a bucket still split over
-several groups has its rows outside its largest group compared, by packed
-bits, with all of its rows: any two rows of different groups that share a
-bucket meet this way, so no link that banding can see is lost (a pair at
-similarity 0.8 is missed with probability 5e-8).
+smallest rows. Once those links have been followed, each row outside the
+largest group of a bucket goes, once, to every block of documents that holds
+a member of the bucket and is compared there, by packed bits, with all members
+of other groups: any two rows of different groups that share a bucket meet
+this way, so no link that banding can see is lost (a pair at similarity 0.8
+shares no bucket with probability 5e-8).
 
 Groups are found by joins alone: each round gives a label the smallest label
 across a link, and halves chains of labels, until nothing changes.
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listforge.llm._common import durable, input_bytes
-from listforge.llm.recurrence import BUCKET_BYTES, NULL_ID, PLACE_BITS, mix64, open_block, pack, word_hashes
+from listforge.llm.recurrence import BUCKET_BYTES, NULL_ID, PLACE_BITS, mix64, open_block, pack, pack_table, unpack, word_hashes
 
 MINIMA, BANDS, BITS = 128, 32, 4
 #: How far below the threshold an estimate may be: over four standard deviations at 0.8.
@@ -62,8 +63,10 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_sets(payload, size: int):
-    """doc_ids and, for each document, its sorted distinct shingle hashes."""
+def shingle_sets(payload, size: int, places: list[int] | None = None):
+    """doc_ids and, for each document (at places), its sorted distinct shingle hashes."""
+    if places is not None:
+        payload = pack_table(unpack(payload).take(pa.array(places, pa.int64())))
     b = open_block(payload, True)
     raw = _LOWER[b.raw]
     values = word_hashes(raw, b.at, b.to)
@@ -118,30 +121,98 @@ def features(blocks: DataFrame, size: int) -> DataFrame:
     return durable(blocks.mapInArrow(run, "row long, doc_id long, n_shingles long, set_hash binary, bands array<long>, bits array<long>"))
 
 
-def confirmed(pairs: DataFrame, blocks: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those pairs a, b whose full sets are alike."""
+def sets_of(rows: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
+    """row, shingles (packed set) of distinct rows."""
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
             for block, payload, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                _, found = shingle_sets(payload.as_buffer(), size)
-                yield pa.RecordBatch.from_arrays([pa.array([(block << PLACE_BITS) + p for p in places], pa.int64()), pa.array([found[p].tobytes() for p in places], pa.binary())], ["row", "shingles"])
+                _, found = shingle_sets(payload.as_buffer(), size, places)
+                yield pa.RecordBatch.from_arrays([pa.array([(block << PLACE_BITS) + p for p in places], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["row", "shingles"])
 
-    def alike(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    wanted = rows.groupBy(_block("row").alias("block")).agg(F.collect_list(_place("row")).alias("places"))
+    return blocks.join(wanted, "block").select("block", "payload", "places").mapInArrow(run, "row long, shingles binary")
+
+
+def _block(c: str) -> Column:
+    return F.shiftright(c, PLACE_BITS)
+
+
+def _place(c: str) -> Column:
+    return F.col(c).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
 
-    rows = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    wanted = rows.groupBy(F.shiftright("row", PLACE_BITS).alias("block")).agg(F.collect_list(F.col("row").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")).alias("places"))
-    found = blocks.join(wanted, "block").select("block", "payload", "places").mapInArrow(sets, "row long, shingles binary")
-    # Many rows may meet one other: that side of the join is split by AQE, its set goes to each part.
-    both = pairs.join(found.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
-    return durable(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def confirmed(pairs: DataFrame, blocks: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those pairs a, b whose full sets are alike. b's set goes once to each block that holds some of its a."""
+
+    def meet(block: pa.Table, sent: pa.Table) -> pa.Table:
+        found_a, found_b = [], []
+        if len(block) and len(sent):
+            base = block.column("block")[0].as_py() << PLACE_BITS
+            lists = sent.column("places").to_pylist()
+            places = sorted(set().union(*lists))
+            own = dict(zip(places, shingle_sets(block.column("payload")[0].as_buffer(), size, places)[1]))
+            for b, packed, wanted in zip(sent.column("b").to_pylist(), sent.column("shingles"), lists):
+                y = np.frombuffer(packed.as_buffer(), np.uint64)
+                good = [p for p in wanted if alike(own[p], y, percent)]
+                found_a += [base + p for p in good]
+                found_b += [b] * len(good)
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    sets = sets_of(pairs.select(F.col("b").alias("row")).distinct(), blocks, size)
+    sent = pairs.groupBy("b", _block("a").alias("block")).agg(F.collect_list(_place("a")).alias("places"))
+    sent = sent.join(sets.select(F.col("row").alias("b"), "shingles"), "b").select("block", "b", "places", "shingles")
+    return durable(blocks.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(meet, "a long, b long"))
+
+
+def links_outside(inside: DataFrame, blocks: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links a, b of rows outside their split bucket's largest group with anything in the blocks that share a bucket.
+
+    An outside row goes, with its set and bits, once to each such block, where
+    it is held against all members of split buckets that are of other groups.
+    """
+    keys = inside.groupBy("key").agg(F.collect_set(_block("row")).alias("blocks"))
+    outer = inside.filter("label <> top").join(keys, "key").groupBy("row").agg(F.first("label").alias("label"), F.first("sketch").alias("sketch"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+    outer = durable(outer)
+    sent = outer.join(sets_of(outer.select("row"), blocks, size), "row").select(F.explode("blocks").alias("block"), F.col("row").alias("a"), "label", F.col("sketch.n").alias("n"), F.col("sketch.bits").alias("bits"), "shingles")
+    members = inside.select("row", "label", "sketch").distinct().groupBy(_block("row").alias("block")).agg(*[F.collect_list(c).alias(n) for c, n in ((F.struct(_place("row").alias("place"), "label", F.col("sketch.n").alias("n")), "rows"), (F.col("sketch.bits"), "bits"))])
+    held = blocks.join(members, "block")
+
+    def meet(block: pa.Table, sent: pa.Table) -> pa.Table:
+        found_a, found_b = [], []
+        if len(block) and len(sent):
+            base = block.column("block")[0].as_py() << PLACE_BITS
+            rows = block.column("rows").combine_chunks().values
+            place, label, n = (rows.field(c).to_numpy() for c in ("place", "label", "n"))
+            bits = block.column("bits").combine_chunks().values.values.to_numpy().view(np.uint64).reshape(len(place), -1)
+            hopes = []
+            for la, na, ba in zip(sent.column("label").to_pylist(), sent.column("n").to_pylist(), sent.column("bits")):
+                x = bits ^ ba.values.to_numpy().view(np.uint64)[None, :]
+                x |= x >> np.uint64(1)
+                x |= x >> np.uint64(2)
+                unlike = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1)
+                score = (1 - unlike / MINIMA - 1 / 16) / (1 - 1 / 16)
+                hopes.append(np.flatnonzero((label != la) & (100 * np.minimum(n, na) >= percent * np.maximum(n, na)) & (score >= percent / 100 - SLACK)))
+            need = np.unique(np.concatenate(hopes))
+            if len(need):
+                own = dict(zip(need.tolist(), shingle_sets(block.column("payload")[0].as_buffer(), size, place[need].tolist())[1]))
+                for a, packed, hope in zip(sent.column("a").to_pylist(), sent.column("shingles"), hopes):
+                    y = np.frombuffer(packed.as_buffer(), np.uint64)
+                    seen: set[int] = set()
+                    for i in hope.tolist():
+                        # One link to each group is enough.
+                        if label[i] not in seen and alike(own[i], y, percent):
+                            seen.add(label[i])
+                            found_a.append(a)
+                            found_b.append(base + int(place[i]))
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    return durable(held.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(meet, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,14 +264,6 @@ def split_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
     return durable(labelled.join(split, "key"))
 
 
-def meets(outer: DataFrame, inner: DataFrame, likely: Column) -> DataFrame:
-    """Distinct pairs a, b, score of rows in a shared bucket; likely: on x, y."""
-    x = outer.select("key", F.col("row").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("x"))
-    y = inner.select(F.col("key").alias("key_b"), F.col("row").alias("b"), F.col("label").alias("lb"), F.col("top").alias("top"), F.col("sketch").alias("y"))
-    met = x.join(y, (F.col("key") == F.col("key_b")) & (F.col("la") != F.col("lb")) & ((F.col("a") < F.col("b")) | (F.col("lb") == F.col("top"))) & likely)
-    return durable(met.groupBy("a", "b").agg(F.first(estimate(F.col("x.bits"), F.col("y.bits"))).alias("score")))
-
-
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, of every row of docs."""
     blocks = pack(docs, max(8, -(-input_bytes(docs) // BUCKET_BYTES)))
@@ -225,9 +288,12 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     if not inside.isEmpty():
         turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "row"), "row"))
         some = inside.filter("label = top").withColumn("turn", turn).filter(F.col("turn") <= RELAYS)
-        groups = settled(groups, meets(inside.filter("label <> top"), some, likely), blocks, size, percent, (4,))
+        x = inside.filter("label <> top").select("key", F.col("row").alias("a"), F.col("sketch").alias("x"))
+        y = some.select(F.col("key").alias("key_b"), F.col("row").alias("b"), F.col("sketch").alias("y"))
+        relayed = x.join(y, (F.col("key") == F.col("key_b")) & likely).groupBy("a", "b").agg(F.first(estimate(F.col("x.bits"), F.col("y.bits"))).alias("score"))
+        groups = settled(groups, durable(relayed), blocks, size, percent, (4,))
         inside = split_buckets(members, groups)
-        groups = settled(groups, meets(inside.filter("label <> top"), inside, likely), blocks, size, percent, (8, None))
+        groups = merged(groups, links_outside(inside, blocks, size, percent))
     root = heads.join(groups, heads["head"] == groups["row"], "left").select("set_hash", F.coalesce("label", "head").alias("root"), "least")
     by_root = root.groupBy("root").agg(F.min("least").alias("component_id"))
     by_hash = root.join(by_root, "root").select("set_hash", "component_id")
