@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listforge.llm import bpe, minhash, mixing, phrases, pii, quality, sharding, suffix, urls
+from listforge.llm import ann, bpe, minhash, mixing, phrases, pii, quality, sharding, suffix, urls
 from listforge.llm._common import table
 
 #: Fixed values of the URL query.
@@ -29,6 +29,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
 
@@ -56,7 +60,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op3_quality_rules, op4_sharding, op6_url_filters, op7_pii_surrogates, op8_byte_bpe, op9_suffix_dedup, op10_minhash_dedup)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_substring_dedup, op3_quality_rules, op4_sharding, op5_nearest_neighbours, op6_url_filters, op7_pii_surrogates, op8_byte_bpe, op9_suffix_dedup, op10_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
