@@ -17,17 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ready_to_checkpoint(spark: SparkSession) -> None:
+    """The folder that the cluster shares; an own one only where none is set."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster shares; own folder only where none is set.
+    """Cut the lineage by a checkpoint.
 
     The checkpoint's rows are wrapped anew, without the size estimates and
     constraints of the plan behind them: in loops of joins those multiply from
     round to round until the driver does little else.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    ready_to_checkpoint(spark)
     kept = df.checkpoint()._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 

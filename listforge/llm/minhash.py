@@ -256,12 +256,12 @@ def settled(groups: DataFrame, pairs: DataFrame, blocks: DataFrame, size: int, p
     return groups
 
 
-def split_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
+def split_buckets(members: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
     """key, row, sketch, label, top: members of buckets of several groups; top is the bucket's largest."""
-    labelled = members.select("key", "row", "sketch").join(groups, "row")
+    labelled = members.select("key", "row").join(groups, "row")
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     split = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("top")).filter("parts > 1").select("key", F.col("top.label").alias("top"))
-    return durable(labelled.join(split, "key"))
+    return durable(labelled.join(split, "key").join(reps.select("row", "sketch"), "row"))
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -271,9 +271,9 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     heads = rows.filter("set_hash is not null").groupBy("set_hash").agg(F.min("row").alias("head"), F.min("doc_id").alias("least"))
     heads = durable(heads)
     reps = durable(rows.join(heads.select(F.col("head").alias("row")), "row", "left_semi").select("row", "bands", F.struct("bits", F.col("n_shingles").alias("n")).alias("sketch")))
-    banded = reps.select("row", "sketch", F.explode("bands").alias("key"))
+    banded = reps.select("row", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").select("key", "first")
-    members = durable(banded.join(shared, "key").select("key", "row", "sketch", "first"))
+    members = durable(banded.join(shared, "key").select("key", "row", "first"))
     groups = durable(members.select("row", F.col("row").alias("label")).distinct())
     # Sets whose sizes differ too much cannot be alike, whatever the estimate.
     sizes_fit = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
@@ -284,7 +284,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     star = star.select("a", "b", estimate(F.col("x.bits"), F.col("y.bits")).alias("score"))
     groups = settled(groups, durable(star), blocks, size, percent, (1, None))
     # Buckets that are still split: first against some of the largest group, which links most, then against all.
-    inside = split_buckets(members, groups)
+    inside = split_buckets(members, groups, reps)
     if not inside.isEmpty():
         turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "row"), "row"))
         some = inside.filter("label = top").withColumn("turn", turn).filter(F.col("turn") <= RELAYS)
@@ -292,7 +292,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         y = some.select(F.col("key").alias("key_b"), F.col("row").alias("b"), F.col("sketch").alias("y"))
         relayed = x.join(y, (F.col("key") == F.col("key_b")) & likely).groupBy("a", "b").agg(F.first(estimate(F.col("x.bits"), F.col("y.bits"))).alias("score"))
         groups = settled(groups, durable(relayed), blocks, size, percent, (4,))
-        inside = split_buckets(members, groups)
+        inside = split_buckets(members, groups, reps)
         groups = merged(groups, links_outside(inside, blocks, size, percent))
     root = heads.join(groups, heads["head"] == groups["row"], "left").select("set_hash", F.coalesce("label", "head").alias("root"), "least")
     by_root = root.groupBy("root").agg(F.min("least").alias("component_id"))

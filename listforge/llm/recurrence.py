@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm._common import durable, input_bytes
+from listforge.llm._common import durable, input_bytes, ready_to_checkpoint
 
 BLOCK_BYTES = 4 << 20
 #: Documents in a block at most; a place in a block takes PLACE_BITS bits.
@@ -213,7 +213,15 @@ def pack(docs: DataFrame, n_blocks: int) -> DataFrame:
                 held += size
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return durable(rows.mapInArrow(run, "block long, payload binary").repartition(n_blocks, "block"))
+    dealt = rows.mapInArrow(run, "block long, payload binary").repartition(n_blocks, "block")
+    conf, name = docs.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")  # an adaptive plan does not pass its partitioning on to the checkpoint
+    try:
+        ready_to_checkpoint(docs.sparkSession)
+        return dealt.checkpoint()
+    finally:
+        conf.set(name, before)
 
 
 def copies(blocks: DataFrame) -> DataFrame:
