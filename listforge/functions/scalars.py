@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from listforge.plans import rules
 
-NONE = F.lit(None)
 ACCENTS = "áàâäãåéèêëíìîïóòôöõúùûüñçýÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyAAAAAAEEEEIIIIOOOOOUUUUNCY"
 

@@ -119,7 +119,7 @@ def page_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.keep_first(rows, ["url"], ["page_id"])
 
 
-_LINKS = r"unnest(regexp_extract_all(html, '(?:href|src|data-href|data-url|data-link|data-src)\s*=\s*[""'']([^""'']*)[""'']', 1, 'i'))".replace('""', '"')
+_LINKS = r"""unnest(regexp_extract_all(html, '(?:href|src|data-href|data-url|data-link|data-src)\s*=\s*["'']([^"'']*)["'']', 1, 'i'))"""
 
 
 @query(f"select page_id, link, count(*) as n from (select page_id, {_LINKS} as link from pages) where starts_with(link, '/') group by page_id, link")
