@@ -2,12 +2,12 @@
 
 The work is done once per distinct word. Documents are cut into pre-tokens and
 packed into blocks: the block's distinct words, and its documents as numbers
-into them. The words of all blocks are made distinct, and each is encoded by
-one expression: a fold over an array of byte strings that joins, at each step,
+into them. Words meet in buckets by hash, packed, where they are made distinct,
+and each is encoded by one expression: a fold over an array of byte strings that joins, at each step,
 the neighbours of lowest rank, looked up in a literal rank map (hashed into an
 array of small maps, so that a lookup takes constant time). Ids go back to the
-blocks by a join on the word; documents are then put together, and decoded by
-concatenating their ids' byte strings.
+blocks, packed; documents are then put together, and decoded by concatenating
+their ids' byte strings.
 
 Words above ``LONG`` bytes, where a fold would take quadratic time, are encoded
 by the same merges in a heap. What moves is each block's vocabulary, never the
@@ -35,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm._common import durable
-from listforge.llm.recurrence import pack_table, ragged, unpack
+from listforge.llm._common import durable, input_bytes
+from listforge.llm.recurrence import BUCKET_BYTES, pack_table, ragged, unpack
 
 BLOCK_BYTES = 16 << 20
 LONG = 64
+#: Places of a word that a row carries; a more frequent word has several rows.
+SLICE = 4096
 SLOTS = 1 << 16
 NO_RANK = 1 << 30
 
@@ -131,7 +133,7 @@ def encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def blocks_of(docs: DataFrame, pattern: str) -> DataFrame:
-    """block, words (distinct, binary), payload: doc_ids and their numbers into words."""
+    """block, words (distinct, packed), payload: doc_ids and their numbers into words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, base, made = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32, 0
@@ -139,7 +141,7 @@ def blocks_of(docs: DataFrame, pattern: str) -> DataFrame:
         def close() -> pa.RecordBatch:
             flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
             t = pa.table({"doc_id": pa.array(ids, pa.int64()), "numbers": pa.LargeListArray.from_arrays(pa.array(np.cumsum([0, *map(len, numbers)]), pa.int64()), pa.array(flat))})
-            return pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([[w.encode() for w in seen]], pa.list_(pa.binary())), pa.array([pack_table(t)], pa.binary())], ["block", "words", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([pack_table(pa.table({"word": pa.array([w.encode() for w in seen], pa.binary())}))], pa.binary()), pa.array([pack_table(t)], pa.binary())], ["block", "words", "payload"])
 
         seen: dict[str, int] = {}
         ids, numbers, held = [], [], 0
@@ -156,52 +158,84 @@ def blocks_of(docs: DataFrame, pattern: str) -> DataFrame:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return durable(rows.mapInArrow(run, "block long, words array<binary>, payload binary"))
+    return durable(rows.mapInArrow(run, "block long, words binary, payload binary"))
 
 
-def vocabulary(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """word, ids of every distinct word of the blocks."""
-    words = blocks.select(F.explode("words").alias("word")).distinct()
+def met_words(blocks: DataFrame, n_buckets: int) -> DataFrame:
+    """word, refs: every distinct word and (block, number) of where it stands, packed; at most SLICE of them a row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode_long(w, ranks) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
-
-    short = words.filter(F.octet_length("word") <= LONG).select("word", encoded(F.col("word"), rank_map(ranks)).alias("ids"))
-    long = words.filter(F.octet_length("word") > LONG).mapInArrow(run, "word binary, ids array<int>")
-    return short.union(long)
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = unpack(packed.as_buffer()).column("word").to_pylist()
+                parts: list[list[int]] = [[] for _ in range(n_buckets)]
+                for i, w in enumerate(words):
+                    parts[zlib.crc32(w) % n_buckets].append(i)
+                for bucket, own in enumerate(parts):
+                    if own:
+                        own.sort(key=words.__getitem__)  # neighbours that begin alike pack well
+                        t = pa.table({"number": pa.array(own, pa.int32()), "word": pa.array([words[i] for i in own], pa.binary())})
+                        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], pa.int64()), pa.array([pack_table(t)], pa.binary())], ["bucket", "block", "packed"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        refs: dict[bytes, list[int]] = {}
+        for block, packed in zip(t.column("block").to_pylist(), t.column("packed")):
+            own = unpack(packed.as_buffer())
+            for number, word in zip(own.column("number").to_pylist(), own.column("word").to_pylist()):
+                refs.setdefault(word, []).extend((block, number))
+        rows = [(w, np.array(r[i : i + 2 * SLICE], np.int64).tobytes()) for w, r in refs.items() for i in range(0, len(r), 2 * SLICE)]
+        return pa.table({"word": pa.array([w for w, _ in rows], pa.binary()), "refs": pa.array([r for _, r in rows], pa.binary())})
+
+    dealt = blocks.select("block", "words").mapInArrow(deal, "bucket int, block long, packed binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "word binary, refs binary")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers, packed) of every row of docs."""
     blocks = blocks_of(docs, pattern)
-    coded = vocabulary(blocks, ranks)
-    own = blocks.select("block", F.posexplode("words").alias("number", "word"))
-    back = own.join(coded, "word").groupBy("block").agg(F.collect_list(F.struct("number", "ids")).alias("coded"))
+    words = met_words(blocks, max(8, -(-input_bytes(docs) // BUCKET_BYTES)))
+    short = F.octet_length("word") <= LONG
+    coded = words.select("refs", F.when(short, encoded(F.col("word"), rank_map(ranks))).alias("ids"), F.when(~short, F.col("word")).alias("long"))
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids = batch.column(1)
+            if batch.column(2).null_count < len(batch):
+                ids = pa.array([x if w is None else encode_long(w, ranks) for x, w in zip(ids.to_pylist(), batch.column(2).to_pylist())], pa.list_(pa.int32()))
+            refs = [np.frombuffer(r.as_buffer(), np.int64).reshape(-1, 2) for r in batch.column(0)]
+            row = np.repeat(np.arange(len(refs)), [len(r) for r in refs])
+            block, number = np.concatenate(refs).T
+            order = np.argsort(block, kind="stable")
+            heads = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1]]))
+            for own in np.split(order, heads[1:]):
+                t = pa.table({"number": pa.array(number[own].astype(np.int32)), "ids": ids.take(pa.array(row[own]))})
+                yield pa.RecordBatch.from_arrays([pa.array([block[own[0]]], pa.int64()), pa.array([pack_table(t)], pa.binary())], ["block", "packed"])
+
+    coded = coded.mapInArrow(back, "block long, packed binary").groupBy("block").agg(F.collect_list("packed").alias("coded"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, pairs in zip(batch.column(0), batch.column(1)):
+            for payload, packed in zip(batch.column(0), batch.column(1).to_pylist()):
                 t = unpack(payload.as_buffer())
-                if pairs.is_valid:
-                    pairs = pairs.values
-                    number, lists = pairs.field("number").to_numpy(), pairs.field("ids")
+                if packed:
+                    own = pa.concat_tables([unpack(x) for x in packed]).combine_chunks()
+                    number, lists = own.column("number").to_numpy(), own.column("ids").combine_chunks()
                     lengths = np.zeros(len(number), np.int64)
                     lengths[number] = pc.list_value_length(lists).to_numpy()
                     starts = np.concatenate([[0], np.cumsum(lengths)])
-                    order = np.argsort(number)
-                    ids = pc.list_flatten(lists.take(pa.array(order))).to_numpy().astype("<u4")
+                    ids = pc.list_flatten(lists.take(pa.array(np.argsort(number)))).to_numpy().astype("<u4")
                 out = []
                 for numbers in (x.values.to_numpy() for x in t.column("numbers")):
                     if not len(numbers):
                         out.append(b"")
                         continue
-                    n = lengths[numbers]
-                    index, _ = ragged(starts[numbers], n)
+                    index, _ = ragged(starts[numbers], lengths[numbers])
                     out.append(ids[index].tobytes())
                 yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
-    return blocks.join(back, "block", "left").select("payload", "coded").mapInArrow(run, "doc_id long, ids binary")
+    return blocks.select("block", "payload").join(coded, "block", "left").select("payload", "coded").mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

@@ -30,13 +30,15 @@ no rows. Other columns are not carried.
 from __future__ import annotations
 
 import hashlib
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listforge.llm._common import durable, input_bytes
+from listforge.llm import _common
+from listforge.llm._common import input_bytes
 from listforge.llm.recurrence import BUCKET_BYTES, NULL_ID, PLACE_BITS, mix64, open_block, pack, pack_table, unpack, word_hashes
 
 MINIMA, BANDS, BITS = 128, 32, 4
@@ -45,6 +47,15 @@ SLACK = 0.16
 #: Members of its largest group that a split bucket's other rows meet first.
 RELAYS = 16
 
+#: Most partitions of the tables between rounds: as many as the input has blocks of work.
+_parts: ContextVar[int] = ContextVar("parts")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """A checkpoint without more partitions, and so files, than the input warrants: there are dozens, mostly small."""
+    return _common.durable(df.coalesce(_parts.get()))
+
+
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1))[:, None]
 _B = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None]
@@ -266,7 +277,9 @@ def split_buckets(members: DataFrame, groups: DataFrame, reps: DataFrame) -> Dat
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, of every row of docs."""
-    blocks = pack(docs, max(8, -(-input_bytes(docs) // BUCKET_BYTES)))
+    n = max(8, -(-input_bytes(docs) // BUCKET_BYTES))
+    _parts.set(n)
+    blocks = pack(docs, n)
     rows = features(blocks, size)
     heads = rows.filter("set_hash is not null").groupBy("set_hash").agg(F.min("row").alias("head"), F.min("doc_id").alias("least"))
     heads = durable(heads)
