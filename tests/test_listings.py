@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def test_queries_match_sql(spark):
     con = duckdb.connect()
     for name in TABLES:
         con.sql(f"create view {name} as select * from '{DATA}/{name}.parquet'")
-    norm = lambda x: None if x is None or x != x else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    norm = lambda x: None if pd.isna(x) else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     for name, sql in queries.oracle_sql().items():
         got, want = queries.queries()[name](spark, DATA).toPandas(), con.sql(sql).df()
         columns = sorted(got.columns)
@@ -102,7 +103,7 @@ def test_dedupe_is_stable(spark):
     assert want == {r["i"] for r in tables.keep_first(rows.repartition(8), ["k"], ["i"]).collect()} and 0 in want
 
 
-MD_A = "1. [Argenprop](https://www.argenprop.com/) 2. [Venta](https://www.argenprop.com/v) 3. [Buenos Aires](https://www.argenprop.com/b) 4. [CABA](https://www.argenprop.com/c) 5. [Palermo](https://www.argenprop.com/p)\nUSD 150.000\n$ 45.000 expensas\n* 91 m² \n* Norte\n### Características\n* Cant. Ambientes: **3**\n* Cant. Dormitorios: **2**\n* **Pileta**\n* **hola_vi 3**\n### Servicios\n* Gas natural\n### Fin" + " relleno" * 80
+MD_A = "1. [Argenprop](https://www.argenprop.com/) 2. [Venta](https://www.argenprop.com/v) 3. [Departamento](https://www.argenprop.com/d) 4. [Buenos Aires](https://www.argenprop.com/b) 5. [CABA](https://www.argenprop.com/c) 6. [Palermo](https://www.argenprop.com/p)\nUSD 150.000\n$ 45.000 expensas\n* 91 m² \n* Norte\n### Características\n* Cant. Ambientes: **3**\n* Cant. Dormitorios: **2**\n* **Pileta**\n* **hola_vi 3**\n### Servicios\n* Gas natural\n### Fin" + " relleno" * 80
 
 
 def test_markdown(spark):
