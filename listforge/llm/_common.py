@@ -38,8 +38,11 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df, without running anything."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the size of df; where it has none, the bytes of text, counted."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 55:
+        return known
+    return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def ascii_lower(c: Column) -> Column:

@@ -65,25 +65,26 @@ def targets(histogram: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataF
 
 def solve(histogram: DataFrame, goals: DataFrame) -> DataFrame:
     """key, source_size, docs, target, scale, lam: Newton on each source's dual, kept within a shrinking bracket."""
-    ratio = F.col("target") / F.col("source_size")
-    x_least = F.col("least") / F.col("scale")
-    state = goals.withColumn("scale", F.col("squares") / F.col("source_size")).withColumn("full", (F.col("source_size") > 0) & (F.col("target") >= MOST * F.col("source_size") * (1 - 1e-12)))
-    state = state.withColumn("lo", F.when(ratio < 1, F.log(ratio) / x_least).otherwise(0.0)).withColumn("hi", F.when(ratio < 1, F.lit(0.0)).otherwise(F.log(F.lit(float(MOST))) / x_least))
+    # A source without words has no scale and no dual: try_divide leaves them null.
+    ratio = F.try_divide("target", "source_size")
+    x_least = F.try_divide("least", "scale")
+    state = goals.withColumn("scale", F.try_divide("squares", "source_size")).withColumn("full", (F.col("source_size") > 0) & (F.col("target") >= MOST * F.col("source_size") * (1 - 1e-12)))
+    state = state.withColumn("lo", F.when(ratio < 1, F.try_divide(F.log(ratio), x_least)).otherwise(0.0)).withColumn("hi", F.when(ratio < 1, F.lit(0.0)).otherwise(F.try_divide(F.log(F.lit(float(MOST))), x_least)))
     state = state.withColumn("lam", F.when(ratio < 1, F.greatest(F.col("lo"), F.log(ratio))).otherwise(F.least(F.col("hi"), F.log(ratio)))).withColumn("gap", F.lit(1.0))
     state = durable(state.withColumn("done", F.col("full") | (F.col("source_size") == 0) | (F.col("target") <= 0)))
     keep = [c for c in state.columns if c not in ("lo", "hi", "lam", "gap", "done")]
     for _ in range(ITERATIONS):
         if state.filter(~F.col("done")).isEmpty():
             break
-        x = F.col("size") / F.col("scale")
+        x = F.try_divide("size", "scale")
         tilt = F.exp(F.col("lam") * x)
         words = F.col("size") * F.col("hist_docs")
         open_ = state.filter(~F.col("done")).select("key", "lam", "scale")
         sums = histogram.withColumnRenamed("docs", "hist_docs").join(open_, "key").groupBy("key").agg(F.sum(words * F.least(F.lit(float(MOST)), tilt)).alias("f"), F.sum(F.when(tilt < MOST, words * tilt * x).otherwise(0.0)).alias("slope"))
-        step = F.col("lam") - (F.col("f") - F.col("target")) / F.col("slope")
+        step = F.col("lam") - F.try_divide(F.col("f") - F.col("target"), F.col("slope"))
         lo, hi = F.when(F.col("f") < F.col("target"), F.col("lam")).otherwise(F.col("lo")), F.when(F.col("f") < F.col("target"), F.col("hi")).otherwise(F.col("lam"))
         joined = state.join(sums, "key", "left").withColumn("lo2", F.when(F.col("done"), F.col("lo")).otherwise(lo)).withColumn("hi2", F.when(F.col("done"), F.col("hi")).otherwise(hi))
-        gap = F.abs(F.col("f") - F.col("target")) / F.col("target")
+        gap = F.try_divide(F.abs(F.col("f") - F.col("target")), F.col("target"))
         inside = (F.col("slope") > 0) & (step > F.col("lo2")) & (step < F.col("hi2"))
         stop = gap < TOLERANCE
         lam = F.when(F.col("done") | stop, F.col("lam")).when(inside, step).otherwise((F.col("lo2") + F.col("hi2")) / 2)
@@ -97,7 +98,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     rows = durable(sized(docs))
     histogram = durable(rows.groupBy("key", "size").agg(F.count("*").alias("docs")))
     solved = durable(solve(histogram, targets(histogram, weights)))
-    rate = F.when(F.col("full"), F.lit(float(MOST))).when((F.col("target") <= 0) | F.col("lam").isNull(), F.lit(0.0)).otherwise(F.least(F.lit(float(MOST)), F.exp(F.col("lam") * F.col("size") / F.col("scale"))))
+    rate = F.when(F.col("full"), F.lit(float(MOST))).when((F.col("target") <= 0) | F.col("lam").isNull(), F.lit(0.0)).otherwise(F.least(F.lit(float(MOST)), F.exp(F.col("lam") * F.try_divide("size", "scale"))))
     rated = rows.join(solved, "key").withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("long"))
     uniform = F.pmod(F.xxhash64(F.col("doc_id"), F.col("size"), F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rated = rated.withColumn("v", uniform - (F.col("rate") - F.col("whole"))).withColumn("spare", (F.col("whole") < MOST) & (F.col("size") > 0))

@@ -67,9 +67,11 @@ class SlotMap:
             while held[gone]:
                 move(-1, gone, min(range(n_shards), key=lambda s: loads[s]))
         for _ in range(4 * len(shards)):
-            a, b = max(range(n_shards), key=lambda s: loads[s]), min(range(n_shards), key=lambda s: loads[s])
-            fits = [i for i, (size, _) in enumerate(held[a]) if 0 < size < loads[a] - loads[b]]
-            if not fits:
+            b = min(range(n_shards), key=lambda s: loads[s])
+            for a in sorted(range(n_shards), key=lambda s: -loads[s]):  # one slot may be all that the fullest holds
+                if fits := [i for i, (size, _) in enumerate(held[a]) if 0 < size < loads[a] - loads[b]]:
+                    break
+            else:
                 break
             half = (loads[a] - loads[b]) / 2
             move(min(fits, key=lambda i: abs(held[a][i][0] - half)), a, b)
