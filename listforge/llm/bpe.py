@@ -192,10 +192,13 @@ def met_words(blocks: DataFrame, n_buckets: int) -> DataFrame:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers, packed) of every row of docs."""
+    # The rank map is a literal of megabytes: plans are not to be printed with all of it.
+    conf, name = docs.sparkSession.conf, "spark.sql.maxPlanStringLength"
+    conf.set(name, str(min(int(conf.get(name).rstrip("b")), 1 << 18)))
     blocks = blocks_of(docs, pattern)
     words = met_words(blocks, max(8, -(-input_bytes(docs) // BUCKET_BYTES)))
     short = F.octet_length("word") <= LONG
-    coded = words.select("refs", F.when(short, encoded(F.col("word"), rank_map(ranks))).alias("ids"), F.when(~short, F.col("word")).alias("long"))
+    coded = words.select("refs", F.when(short, let(rank_map(ranks), lambda table: encoded(F.col("word"), table))).alias("ids"), F.when(~short, F.col("word")).alias("long"))
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
