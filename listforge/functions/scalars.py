@@ -6,6 +6,8 @@ empty match is null. Python's Unicode blanks are matched with ``(?U)``.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, SparkSession
@@ -13,9 +15,6 @@ from pyspark.sql import functions as F
 
 from listforge.plans import rules
 
-ACCENTS = "áàâäãåéèêëíìîïóòôöõúùûüñçýÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyAAAAAAEEEEIIIIOOOOOUUUUNCY"
-
 
 def first(c: Column, pattern: str, group: int = 1, flags: str = "") -> Column:
     """Group of the first match, null if there is none or it is empty."""
@@ -43,8 +42,32 @@ def clean_text(c: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit(""))
 
 
+def _unicode_forms() -> tuple[dict[str, str], dict[str, str], str]:
+    """Characters whose compatibility form, without combining marks, has ASCII letters or digits: of one character, of several; and a class of the marks."""
+    one, several, marks = {}, {}, []
+    for i in range(128, sys.maxunicode + 1):
+        c = chr(i)
+        if unicodedata.combining(c):
+            if marks and marks[-1][1] == i - 1:
+                marks[-1][1] = i
+            else:
+                marks.append([i, i])
+        elif unicodedata.decomposition(c):
+            form = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            if any(x.isascii() and x.isalnum() for x in form):
+                (one if len(form) == 1 else several)[c] = form
+    return one, several, "[" + "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in marks) + "]"
+
+
+_ONE, _SEVERAL, _MARKS = _unicode_forms()
+
+
 def norm_key(c: Column) -> Column:
-    return F.coalesce(F.btrim(F.regexp_replace(F.lower(F.translate(c, ACCENTS, PLAIN)), "[^a-z0-9]+", "_"), F.lit("_")), F.lit(""))
+    """Lower-case ASCII letters and digits of the compatibility form without marks, anything else one underscore."""
+    forms = F.array(*[F.struct(F.lit(k).alias("a"), F.lit(v).alias("b")) for k, v in _SEVERAL.items()])
+    spelled = F.when(c.rlike("[" + "".join(_SEVERAL) + "]"), F.aggregate(forms, c, lambda text, f: F.replace(text, f["a"], f["b"]))).otherwise(c)
+    plain = F.regexp_replace(F.translate(spelled, "".join(_ONE), "".join(_ONE.values())), _MARKS, "")
+    return F.coalesce(F.btrim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "_"), F.lit("_")), F.lit(""))
 
 
 def amenity_column(key: Column) -> Column:

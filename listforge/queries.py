@@ -294,6 +294,14 @@ def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q["parsed_pages"] = parsed_pages
 
 
+def norm_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """norm_key of whole documents; DuckDB has no compatibility forms, so no SQL: tests hold it against brute force."""
+    return t(spark, sf_dir, "documents").select("doc_id", S.norm_key(F.col("text")).alias("norm_key"))
+
+
+Q["norm_keys"] = norm_keys
+
+
 def listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide listing extraction over composed texts; its parts have SQL, the whole is held against goldens in tests."""
     none = lambda *cs: [F.lit(None).cast("string").alias(c) for c in cs]

@@ -66,6 +66,19 @@ def test_queries_match_sql(spark):
         assert rows(got) == rows(want), name
 
 
+def test_norm_keys_of_whole_texts(spark, tmp_path):
+    import re
+    import unicodedata
+
+    from listforge import queries
+
+    texts = [None, "", "x" * 300 + " Größe Ångström e\u0301tage", "Straße " * 60 + "ﬁn ½ ㎏ ｗｉｄｅ 𝐀 İ K № ş ă ő ō 2º", "漢字 " * 90 + "Ω end"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    forms = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    want = {i: re.sub(r"[^a-z0-9]+", "_", forms(s or "").lower()).strip("_") for i, s in enumerate(texts)}
+    assert {r["doc_id"]: r["norm_key"] for r in queries.queries()["norm_keys"](spark, str(tmp_path)).collect()} == want
+
+
 PAGE = """<html><head><title> Depto </title><meta property="og:title" content="Departamento en Palermo, Capital Federal">
 <script type="application/ld+json">{"offers":{"lowPrice":"90.000","price":120000,"priceCurrency":"usd"},"address":{"streetAddress":"","addressLocality":"CABA"},"geo":{"latitude":-34.5,"longitude":"-58,4"}}</script>
 <script type="application/ld+json">{broken</script><script>var x="</p>";</script></head>
