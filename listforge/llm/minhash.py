@@ -77,7 +77,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 def shingle_sets(payload, size: int, places: list[int] | None = None):
     """doc_ids and, for each document (at places), its sorted distinct shingle hashes."""
     if places is not None:
-        payload = pack_table(unpack(payload).take(pa.array(places, pa.int64())))
+        payload = pack_table(unpack(payload).select(["doc_id", "text"]).take(pa.array(places, pa.int64())))
     b = open_block(payload, True)
     raw = _LOWER[b.raw]
     values = word_hashes(raw, b.at, b.to)
@@ -275,11 +275,11 @@ def split_buckets(members: DataFrame, groups: DataFrame, reps: DataFrame) -> Dat
     return durable(labelled.join(split, "key").join(reps.select("row", "sketch"), "row"))
 
 
-def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, of every row of docs."""
+def grouped(docs: DataFrame, size: int, percent: int, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The packed blocks, features of their rows, and for each set_hash its root (one for each group) and least doc_id."""
     n = max(8, -(-input_bytes(docs) // BUCKET_BYTES))
     _parts.set(n)
-    blocks = pack(docs, n)
+    blocks = pack(docs, n, whole)
     rows = features(blocks, size)
     heads = rows.filter("set_hash is not null").groupBy("set_hash").agg(F.min("row").alias("head"), F.min("doc_id").alias("least"))
     heads = durable(heads)
@@ -308,6 +308,12 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         inside = split_buckets(members, groups, reps)
         groups = merged(groups, links_outside(inside, blocks, size, percent))
     root = heads.join(groups, heads["head"] == groups["row"], "left").select("set_hash", F.coalesce("label", "head").alias("root"), "least")
+    return blocks, rows, root
+
+
+def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, of every row of docs."""
+    _, rows, root = grouped(docs, size, percent)
     by_root = root.groupBy("root").agg(F.min("least").alias("component_id"))
     by_hash = root.join(by_root, "root").select("set_hash", "component_id")
     out = rows.select("row", "doc_id", "n_shingles", "set_hash").join(by_hash, "set_hash", "left")
@@ -317,6 +323,26 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of docs for each group, columns unchanged; of rows that share the kept doc_id, any one."""
-    kept = near_groups(docs, size, percent).filter("kept or component_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of docs for each group, that of its smallest doc_id, and all rows of empty sets; columns unchanged.
+
+    Rows are told apart by their place in the packed blocks, and leave from
+    there, so null and shared doc_ids lose nothing.
+    """
+    blocks, rows, root = grouped(docs, size, percent, whole=True)
+    first = rows.filter("set_hash is not null").groupBy("set_hash").agg(F.min(F.struct("doc_id", "row")).alias("own"))
+    chosen = root.join(first, "set_hash").groupBy("root").agg(F.min("own").alias("own")).select(F.col("own.row").alias("row"))
+    chosen = chosen.union(rows.filter("set_hash is null").select("row"))
+    wanted = durable(chosen.groupBy(_block("row").alias("block")).agg(F.collect_list(_place("row")).alias("places")))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = ["doc_id", "text", *["rest"] * bool(others)]
+
+    def run(batches):
+        for batch in batches:
+            for payload, places in zip(batch.column(0), batch.column(1).to_pylist()):
+                t = unpack(payload.as_buffer()).take(pa.array(sorted(places), pa.int64())).combine_chunks()
+                yield from t.select(names).to_batches()
+
+    rest = [f"rest struct<{', '.join(f'`{c}`: {docs.schema[c].dataType.simpleString()}' for c in others)}>"] * bool(others)
+    out = blocks.join(wanted, "block").select("payload", "places").mapInArrow(run, ", ".join(["doc_id long", "text string", *rest]))
+    own = lambda c: F.col(c).cast(docs.schema[c].dataType) if c in ("doc_id", "text") else F.col("rest")[c]
+    return out.select(*[own(c).alias(c) for c in docs.columns])

@@ -22,7 +22,7 @@ carried.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listforge.llm._common import durable, word_count
@@ -33,10 +33,14 @@ ITERATIONS = 60
 TOLERANCE = 1e-8
 
 
+def source_key() -> Column:
+    """Never null, orders as the source."""
+    return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("k"), F.col("source")))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, key (never null, orders as the source), size in words."""
-    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("k"), F.col("source")))
-    return docs.select("doc_id", "source", key.alias("key"), word_count(F.col("text")).alias("size"))
+    return docs.select("doc_id", "source", source_key().alias("key"), word_count(F.col("text")).alias("size"))
 
 
 def targets(histogram: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -125,8 +129,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     return both.select("doc_id", "source", "size", "source_size", "target", F.round("rate", 9).alias("rate"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def _alike(df: DataFrame, *columns: Column) -> DataFrame:
+    """columns, and what rows share that the mix cannot tell apart: source, doc_id and size. None of these four is null."""
+    own = F.col("doc_id")
+    return df.select(*columns, F.col("key").alias("key"), own.isNull().alias("no_id"), F.coalesce(own, F.lit(0).cast(df.schema["doc_id"].dataType)).alias("id"), F.col("size").alias("size"))
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, columns unchanged. Rows that share a doc_id are taken as often as the first of them."""
-    copies = mix(docs, weights).groupBy("doc_id").agg(F.first("copies").alias("copies")).filter("copies > 0").withColumnRenamed("doc_id", "taken_id")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("taken_id")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """The rows of docs, each as often as the mix takes it, columns unchanged.
+
+    Rows of one source, doc_id and size have copies that differ by one at most;
+    the rows of that kind that get one more are the first by their texts' hash.
+    So each row has its own copies, also where the doc_id is null or shared.
+    """
+    group = ["key", "no_id", "id", "size"]
+    taken = mix(docs, weights).withColumn("key", source_key())
+    n = F.col("copies")
+    copies = _alike(taken, n).groupBy(*group).agg(F.min(n).alias("each"), (F.sum(n) - F.count("*") * F.min(n)).alias("extra"))
+    own = docs.select(F.struct("*").alias("doc"), "doc_id", source_key().alias("key"), word_count(F.col("text")).alias("size"))
+    turn = F.row_number().over(Window.partitionBy(*group).orderBy(*group, F.xxhash64("doc.text")))
+    rows = _alike(own, F.col("doc")).join(copies, group).withColumn("copies", F.col("each") + (turn <= F.col("extra")).cast("long")).filter("copies > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

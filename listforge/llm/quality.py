@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,17 +65,24 @@ def counts_of(text: str | None, stop_words: frozenset[bytes]) -> tuple[int, ...]
     return (len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(words), len(lines), upper, lower, marks, stops)
 
 
-def measure(docs: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """doc_id and COUNTS of every row."""
+def _measured(rows: DataFrame, held: str, texts: Callable[[pa.Array], pa.Array], stop_words: tuple[str, ...]) -> DataFrame:
+    """The first column of rows, of which ``held`` is the schema, and COUNTS of the texts that are in the last one."""
     stops = frozenset(w.encode() for w in stop_words)
+    name = rows.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [counts_of(t.as_py(), stops) for t in batch.column(1)]
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *COUNTS])
+            counts = [counts_of(t.as_py(), stops) for t in texts(batch.columns[-1])]
+            columns = [pa.array(c, pa.int64()) for c in zip(*counts)] if counts else [pa.array([], pa.int64())] * len(COUNTS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [name, *COUNTS])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(run, f"{held}, " + ", ".join(f"{c} long" for c in COUNTS))
+
+
+def measure(docs: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """doc_id and COUNTS of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _measured(rows, "doc_id long", lambda texts: texts, stop_words)
 
 
 def _vote(bad: Column, good: Column) -> Column:
@@ -136,21 +143,37 @@ def posterior(pattern: tuple[int, ...], share: float, right: list[tuple[float, f
     return 1 / (1 + math.exp(-max(min(odds, 700), -700)))
 
 
+def _coded(measured: DataFrame) -> DataFrame:
+    """measured with pattern (its votes as one number) and base_failed."""
+    code = sum((c * 3**j for j, c in enumerate(votes().values())), F.lit(0)).cast("int")
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return measured.withColumn("pattern", code).withColumn("base_failed", base)
+
+
+def _decode(pattern: int) -> tuple[int, ...]:
+    return tuple(pattern // 3**j % 3 for j in range(len(votes())))
+
+
+def _fitted(coded: DataFrame) -> tuple[list[int], float, list[tuple[float, float]]]:
+    """The patterns that occur, and what ``fit`` finds in them."""
+    found = [(r["pattern"], r["n"]) for r in coded.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()]  # 3^rules at most
+    return [p for p, _ in found], *fit([(_decode(p), n) for p, n in found])
+
+
 def judge(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, COUNTS, base_failed, p_good, kept of every row."""
-    rules = votes()
-    code = sum((c * 3**j for j, c in enumerate(rules.values())), F.lit(0)).cast("int")
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = durable(measure(docs).withColumn("pattern", code).withColumn("base_failed", base))
-    found = [(r["pattern"], r["n"]) for r in rows.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()]  # 3^rules at most
-    decode = lambda p: tuple(p // 3**j % 3 for j in range(len(rules)))
-    share, right = fit([(decode(p), n) for p, n in found])
-    scores = docs.sparkSession.createDataFrame([(p, posterior(decode(p), share, right)) for p, _ in found], "pattern int, p_good double")
+    rows = durable(_coded(measure(docs)))
+    found, share, right = _fitted(rows)
+    scores = docs.sparkSession.createDataFrame([(p, posterior(_decode(p), share, right)) for p in found], "pattern int, p_good double")
     kept = ~F.col("base_failed") & (F.col("p_good") >= threshold)
     return rows.join(F.broadcast(scores), "pattern").select("doc_id", *COUNTS, "base_failed", F.round("p_good", 9).alias("p_good"), kept.alias("kept"))
 
 
 def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are kept, columns unchanged. Rows that share a doc_id are kept if all of them are."""
-    ids = judge(docs, threshold).groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    """The rows of docs that are kept, columns unchanged. Each row is judged by its own text, whatever its doc_id: texts are measured twice, once to fit and once to filter, and no row is joined."""
+    found, share, right = _fitted(_coded(measure(docs)))
+    good = [p for p in found if posterior(_decode(p), share, right) >= threshold]
+    at = docs.columns.index("text")
+    doc = docs.select(F.struct("*").alias("doc"))
+    held = _measured(doc, f"doc {doc.schema['doc'].dataType.simpleString()}", lambda d: d.field(at), STOP_WORDS)
+    return _coded(held).filter(~F.col("base_failed") & F.col("pattern").isin(good)).select("doc.*")

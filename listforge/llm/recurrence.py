@@ -91,8 +91,7 @@ class Block:
     text_at: np.ndarray
 
 
-def pack_batch(ids: pa.Array, texts: pa.Array) -> bytes:
-    batch = pa.RecordBatch.from_arrays([ids, texts], ["doc_id", "text"])
+def pack_batch(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_batch(batch)
@@ -198,8 +197,8 @@ class Plan:
     resolve: Callable[[list[bytes], np.ndarray, np.ndarray, int], list[np.ndarray]]
 
 
-def pack(docs: DataFrame, n_blocks: int) -> DataFrame:
-    """block long, payload binary; partitioned by block, checkpointed."""
+def pack(docs: DataFrame, n_blocks: int, whole: bool = False) -> DataFrame:
+    """block long, payload binary; partitioned by block, checkpointed. whole: payloads hold all columns of docs as a struct ``rest``, text and doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 24, 0
@@ -208,11 +207,12 @@ def pack(docs: DataFrame, n_blocks: int) -> DataFrame:
             begin, held = 0, 0
             for i, size in enumerate([*sizes, BLOCK_BYTES]):
                 if begin < i and (held + size > BLOCK_BYTES or i - begin >> PLACE_BITS or i == len(sizes)):
-                    yield pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([pack_batch(batch.column(0).slice(begin, i - begin), batch.column(1).slice(begin, i - begin))], pa.binary())], ["block", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([pack_batch(batch.slice(begin, i - begin))], pa.binary())], ["block", "payload"])
                     begin, held, made = i, 0, made + 1
                 held += size
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] if whole else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.struct(*others).alias("rest")] * bool(others))
     dealt = rows.mapInArrow(run, "block long, payload binary").repartition(n_blocks, "block")
     conf, name = docs.sparkSession.conf, "spark.sql.adaptive.enabled"
     before = conf.get(name)
