@@ -2,8 +2,8 @@
 
 A detected entity is read as a shape (its punctuation and, for every letter or
 digit, an alphabet) and a number within that shape. A keyed permutation of the
-shape's numbers gives the surrogate: digits stay digits, letters keep case and
-script, octets stay octets, valid card numbers stay valid, given names known
+shape's numbers gives the surrogate: digits stay digits, letters of any script
+keep case and script (accented letters are exchanged among themselves), octets stay octets, valid card numbers stay valid, given names known
 by gender map to names of that gender. The permutation f = P^-1(P(x) + 1), P a
 Feistel cipher, runs through all numbers in one cycle. So no entity stays as
 it is, equal entities get equal surrogates in every document, different ones
@@ -23,7 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 from math import isqrt
 
 import pyarrow as pa
@@ -39,8 +42,9 @@ ROUNDS = 6
 #: Given names by gender: what is in a list maps within the list.
 FEMALE = ("Mary", "Anna", "Laura", "Emma", "Julia", "Maria", "Sophie", "Claire", "Marie", "Elena", "Lucia", "Carmen", "Ingrid", "Heike", "Petra", "Susan", "Linda", "Karen", "Alice", "Nadia")
 MALE = ("John", "Peter", "Paul", "James", "Robert", "Michael", "David", "Thomas", "Hans", "Klaus", "Jean", "Pierre", "Luis", "Carlos", "Jose", "Juan", "Frank", "Mark", "Simon", "Victor")
-#: First and last letter of each alphabet; lower case follows upper case by the given distance.
-SCRIPTS = (("A", "Z", 32), ("А", "Я", 32), ("Α", "Ρ", 32), ("Σ", "Ω", 32))
+#: The alphabets, in upper case, of ASCII digits and of Latin, Cyrillic and Greek letters; those of all other letters and digits follow from their classes in Unicode.
+ALPHABETS = tuple("".join(map(chr, range(ord(a), ord(z) + 1))) for a, z in ("09", "AZ", "АЯ", "ΑΡ", "ΣΩ"))
+_FIXED = frozenset("".join(ALPHABETS))
 
 _TITLES = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Sra|Sr|Don|Doña)\b\.?[  ]"
 _NAME = r"[^\W\d_]+(?:-[^\W\d_]+)?"
@@ -50,7 +54,7 @@ PATTERN = re.compile(
   | (?P<access_key>\bAKIA[0-9A-Z]{{16}}\b)
   | (?:\b(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s*[=:]\s*["']?)(?P<secret>[^\s"',;]{{8,}})
   | (?P<iban>\b[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{3,7}}(?:[ ]?[A-Z0-9]{{1,3}})?\b)
-  | (?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d))
+  | (?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){{3}}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![\d]|\.\d))
   | (?P<card>(?<![\d.-])\d(?:[ -]?\d){{12,18}}(?![\d-]))
   | (?P<ssn>(?<![\d-])\d{{3}}-\d{{2}}-\d{{4}}(?![\d-]))
   | (?P<phone>(?<![\w.])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?)?\d{{2,4}}[ .-]\d{{2,4}}(?:[ .-]\d{{2,4}}){{0,3}}(?![\w]))
@@ -90,47 +94,78 @@ class Permutation:
         return 0 if m < 2 else self._p(label, m, (self._p(label, m, x, False) + 1) % m, True)
 
 
-def spell(text: str) -> list[tuple[str, int, int]]:
-    """Each character as (alphabet, its size, place); what has no alphabet has size 1."""
-    out = []
-    for c in text:
-        if "0" <= c <= "9":
-            out.append(("0", 10, ord(c) - 48))
-            continue
-        for first, last, lower in SCRIPTS:
-            n, u = ord(last) - ord(first) + 1, ord(c) - ord(first)
-            if 0 <= u < n:
-                out.append((first, n, u))
-                break
-            if 0 <= u - lower < n:
-                out.append((first + "l", n, u - lower))
-                break
-        else:
-            out.append((c, 1, 0))
-    return out
+def _class(c: str) -> tuple | None:
+    """What c may be exchanged within: category and script of the letter or digit, its part of Unicode, and whether it has another case; None for other characters."""
+    if unicodedata.category(c)[0] not in "LN" or c in _FIXED or c.upper() in _FIXED and c.upper().lower() == c:
+        return None
+    up, low = c.upper(), c.lower()
+    cased = len(up) == len(low) == 1 and up != low and up.lower() == low and low.upper() == up and c in (up, low)
+    of = up if cased else c
+    return unicodedata.category(of), unicodedata.name(of, "?").split(" ")[0], ord(of) >> 12, cased
+
+
+def _members(cls: tuple, codes: range) -> str:
+    return "".join(c for c in map(chr, codes) if _class(c) == cls and not (cls[3] and c.upper() != c))
+
+
+@cache
+def _lone(cased: bool) -> str:
+    """The letters and digits that are alone in their class."""
+    found: dict[tuple, list[str]] = {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        cls = _class(c)
+        if cls and cls[3] == cased and not (cased and c.upper() != c):
+            found.setdefault(cls, []).append(c)
+    return "".join(own[0] for own in found.values() if len(own) == 1)
+
+
+@cache
+def _alphabet(cls: tuple) -> str:
+    """The characters of a class, upper case where there is case; classes of one character make up one alphabet."""
+    own = _members(cls, range(cls[2] << 12, (cls[2] + 1) << 12))
+    return own if len(own) > 1 else _lone(cls[3])
+
+
+@cache
+def _place(c: str) -> tuple[str, bool, int]:
+    """c's alphabet, whether c is its lower case, and its place; what is no letter or digit is an alphabet of its own."""
+    for letters in ALPHABETS:
+        for lower in (False, True):
+            at = (letters.lower() if lower else letters).find(c)
+            if at >= 0:
+                return letters, lower, at
+    cls = _class(c)
+    if not cls:
+        return c, False, 0
+    letters, lower = _alphabet(cls), cls[3] and c.upper() != c
+    return letters, lower, letters.index(c.upper() if lower else c)
+
+
+def spell(text: str) -> list[tuple[str, bool, int]]:
+    """Each character as (alphabet, lower case, place)."""
+    return [_place(c) for c in text]
+
+
+def fold(text: str) -> str:
+    """text without case, as far as case is no part of its number."""
+    return text.lower() if text.isascii() else "".join(letters[at].lower() if lower or letters[at].lower().upper() == letters[at] and len(letters[at].lower()) == 1 else letters[at] for letters, lower, at in spell(text))
 
 
 def permute_text(p: Permutation, kind: str, text: str, allowed: Callable[[str], bool] = lambda s: True) -> str:
     """text with every letter and digit moved within its alphabet; case is no part of the number."""
     chars = spell(text)
-    label = (kind + "|" + "".join(a[0] if n > 1 else a for a, n, _ in chars)).encode()
+    label = (kind + "|" + "".join(letters[0] for letters, _, _ in chars)).encode()
     m, x = 1, 0
-    for _, n, at in chars:
-        m, x = m * n, x * n + at
+    for letters, _, at in chars:
+        m, x = m * len(letters), x * len(letters) + at
     if m < 2:
         return text
     while True:
         x = p.next(label, m, x)
         y, out = x, []
-        for a, n, _ in reversed(chars):
-            y, at = divmod(y, n)
-            if n == 1:
-                out.append(a)
-            elif a == "0":
-                out.append(chr(48 + at))
-            else:
-                lower = next(s[2] for s in SCRIPTS if s[0] == a[0])
-                out.append(chr(ord(a[0]) + at + (lower if a.endswith("l") else 0)))
+        for letters, lower, _ in reversed(chars):
+            y, at = divmod(y, len(letters))
+            out.append(letters[at].lower() if lower else letters[at])
         got = "".join(reversed(out))
         if allowed(got):
             return got
@@ -179,12 +214,15 @@ def surrogate(p: Permutation, kind: str, text: str) -> str:
         return permute_text(p, kind, local + "@" + ".".join(labels)) + "." + top
     if kind == "name":
         return " ".join(_name(p, w) for w in text.split(" "))
-    if kind == "secret" and re.fullmatch(r"[0-9a-f]{8,}", text):
-        m = 16 ** len(text)
-        return f"{p.next(b'hex|%d' % len(text), m, int(text, 16)):0{len(text)}x}"
+    if kind == "secret":
+        if _HEX.fullmatch(text):
+            m = 16 ** len(text)
+            return f"{p.next(b'hex|%d' % len(text), m, int(text, 16)):0{len(text)}x}"
+        return permute_text(p, kind, text, lambda s: not _HEX.fullmatch(s))
     return permute_text(p, kind, text)
 
 
+_HEX = re.compile(r"[0-9a-f]{8,}")
 _LISTS = {w: (i, names) for names in (FEMALE, MALE) for i, w in enumerate(names)}
 
 
@@ -202,7 +240,9 @@ def entities(text: str) -> Iterator[tuple[str, int, int]]:
             kind = m.lastgroup
             if kind == "phone" and not 7 <= sum(c.isdigit() for c in m.group(kind)) <= 15:
                 continue
-            yield kind, *m.span(kind)
+            # Without a letter or digit (password: ********) there is nothing private, and nothing to exchange.
+            if kind not in ("email", "secret") or any(len(_place(c)[0]) > 1 for c in (m.group(kind).rpartition(".")[0] if kind == "email" else m.group(kind))):
+                yield kind, *m.span(kind)
 
 
 def replaced(p: Permutation, text: str) -> tuple[str, int]:
@@ -229,7 +269,7 @@ def mapping(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 def canonical(kind: str, text: str) -> str:
     if kind in ("phone", "card"):
         return "".join(c for c in text if c.isdigit())
-    return text if kind in ("name", "secret", "access_key") else text.lower()
+    return text if kind in ("name", "secret", "access_key") else fold(text)
 
 
 def collisions(pairs: DataFrame) -> DataFrame:

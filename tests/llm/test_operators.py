@@ -184,6 +184,26 @@ def test_pii(spark):
     assert pii.collisions(clash).count() == 1
 
 
+def test_pii_of_any_script(spark):
+    texts = ["password: ********", "Mr. 王小明 came", "write to 用户@例子.com", "Mme. Éléonore and Mr. Ёлкин", "Mr. ßß", "token=ǅǅǅǅǅǅǅǅ", "a ÀÉ@ñü.org", "a àé@ÑÜ.org", "token: ٠١٢٣٤٥٦٧", "%%@--.com"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows_of(pii.replace(docs, counted=True), "text", "n_replaced")
+    assert [got[i][1] for i in range(len(texts))] == [0, 1, 1, 2, 1, 1, 1, 1, 1, 0]
+    for i, t in enumerate(texts):
+        spans = list(pii.entities(t))
+        assert len(got[i][0]) == len(t) and all(t[a:z] != got[i][0][a:z] for _, a, z in spans)
+        outside = [k for k in range(len(t)) if not any(a <= k < z for _, a, z in spans)]
+        assert [t[k] for k in outside] == [got[i][0][k] for k in outside]
+    assert got[6][0][2:].lower() == got[7][0][2:].lower() and got[2][0].endswith(".com") and got[2][0][9:11] != "用户"
+    for i in (3, 6, 7):
+        assert [c.isupper() for c in got[i][0]] == [c.isupper() for c in texts[i]]
+    # Every class is closed, so all its words have surrogates of their own.
+    p = pii.Permutation(b"k")
+    for c in "éЁ王ß٣":
+        letters = pii._place(c)[0][:300]
+        assert len({pii.permute_text(p, "name", x) for x in letters}) == len(letters) and all(pii._place(x)[0][0] == letters[0] for x in letters)
+
+
 def test_urls(spark):
     rules = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "com", "/de/"))
     pages = spark.createDataFrame([(1, "https://A.Example.ORG/es/1?x#y", 0), (2, "http://example.org/en", 0), (3, None, 0), (4, "no scheme", 0), (5, "http://bad.net/x", 0), (6, "http://x.com?/de/", 0), (7, "http://x.com/de/", 0)] + [(100 + i, "http://bad.net/p", 0) for i in range(60)] + [(300 + i, "http://good.com/p", 0) for i in range(60)], "page_id long, url string, host int")
