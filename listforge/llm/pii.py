@@ -27,6 +27,7 @@ import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
+from ipaddress import IPv6Address
 from math import isqrt
 
 import pyarrow as pa
@@ -48,21 +49,27 @@ _FIXED = frozenset("".join(ALPHABETS))
 
 _TITLES = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Sra|Sr|Don|Doña)\b\.?[  ]"
 _NAME = r"[^\W\d_]+(?:-[^\W\d_]+)?"
+_GIVEN = rf"(?:{'|'.join(FEMALE + MALE)})"
+#: Groups of the pattern that are another kind's second form.
+KINDS = {"given_name": "name", "solid_phone": "phone"}
 PATTERN = re.compile(
     rf"""
     (?P<email>(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)+)
   | (?P<access_key>\bAKIA[0-9A-Z]{{16}}\b)
   | (?:\b(?i:password|passwd|pwd|secret|token|api[_-]?key)["']?\s*[=:]\s*["']?)(?P<secret>[^\s"',;]{{8,}})
   | (?P<iban>\b[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{3,7}}(?:[ ]?[A-Z0-9]{{1,3}})?\b)
+  | (?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f]{{0,4}}:[0-9A-Fa-f]{{0,4}}:)[0-9A-Fa-f:]{{1,38}}(?:[0-9A-Fa-f]|::)(?!\w|:[\w:]|\.\d))
   | (?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){{3}}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![\d]|\.\d))
   | (?P<card>(?<![\d.-])\d(?:[ -]?\d){{12,18}}(?![\d-]))
   | (?P<ssn>(?<![\d-])\d{{3}}-\d{{2}}-\d{{4}}(?![\d-]))
+  | (?P<solid_phone>(?<![\w.+])\+[1-9]\d{{6,14}}(?!\w|[.,-]\d)|(?<![\w.,+-])(?:1?[2-9]\d\d[2-9]\d{{6}}|0\d{{9,10}})(?!\w|[.,-]\d))
   | (?P<phone>(?<![\w.])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?)?\d{{2,4}}[ .-]\d{{2,4}}(?:[ .-]\d{{2,4}}){{0,3}}(?![\w]))
+  | (?P<given_name>(?<![\w'-]){_GIVEN}[ ](?=[A-ZÀ-Þ]){_NAME})
   | (?:\b{_TITLES})(?P<name>(?-i:[^\W\d_a-zà-ÿ]){_NAME}(?:[ ](?=[A-ZÀ-Þ]){_NAME})?)
     """,
     re.VERBOSE,
 )
-_WORTH = re.compile(rf"[@\d]|\b{_TITLES}|(?i:password|passwd|pwd|secret|token|api[_-]?key)")
+_WORTH = re.compile(rf"[@\d]|\b{_TITLES}|AKIA|::|[0-9A-Fa-f]:[0-9A-Fa-f]|\b{_GIVEN}[ ]|(?i:password|passwd|pwd|secret|token|api[_-]?key)")
 
 
 class Permutation:
@@ -198,6 +205,12 @@ def surrogate(p: Permutation, kind: str, text: str) -> str:
             x, at = divmod(x, n)
             out.append(str(at + low))
         return ".".join(reversed(out))
+    if kind == "ipv6":
+        old = [c for c in text if c != ":"]
+        x = p.next(("ipv6|" + re.sub("[^:]", "x", text)).encode(), 16 ** len(old), int("".join(old), 16))
+        new = f"{x:0{len(old)}x}"
+        new = iter(new.upper() if any(c.isupper() for c in old) else new)
+        return "".join(c if c == ":" else next(new) for c in text)
     if kind == "card":
         valid = luhn("".join(c for c in text if c.isdigit()))
         return _digits(p, f"card{valid}", text, 1, lambda s: luhn(s) == valid)
@@ -233,16 +246,27 @@ def _name(p: Permutation, word: str) -> str:
     return permute_text(p, "name", word, lambda s: s not in _LISTS)
 
 
+def _is_ipv6(text: str) -> bool:
+    try:
+        return any(c != ":" for c in text) and IPv6Address(text) is not None
+    except ValueError:
+        return False
+
+
 def entities(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, begin, end) of each entity, left to right."""
     if _WORTH.search(text):
         for m in PATTERN.finditer(text):
-            kind = m.lastgroup
-            if kind == "phone" and not 7 <= sum(c.isdigit() for c in m.group(kind)) <= 15:
+            group = m.lastgroup
+            kind, (begin, end) = KINDS.get(group, group), m.span(group)
+            if kind == "phone" and not 7 <= sum(c.isdigit() for c in text[begin:end]) <= 15:
+                continue
+            if kind == "ipv6" and not _is_ipv6(text[begin:end]):
                 continue
             # Without a letter or digit (password: ********) there is nothing private, and nothing to exchange.
-            if kind not in ("email", "secret") or any(len(_place(c)[0]) > 1 for c in (m.group(kind).rpartition(".")[0] if kind == "email" else m.group(kind))):
-                yield kind, *m.span(kind)
+            own = text[begin:end].rpartition(".")[0] if kind == "email" else text[begin:end]
+            if kind not in ("email", "secret") or any(len(_place(c)[0]) > 1 for c in own):
+                yield kind, begin, end
 
 
 def replaced(p: Permutation, text: str) -> tuple[str, int]:
