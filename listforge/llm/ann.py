@@ -8,9 +8,9 @@ neighbours of a node are likely neighbours. Each node keeps its best ``k``.
 Vectors travel as half floats; scores of results are computed in double
 precision on the originals.
 
-A query, itself a node, starts from its own neighbours; every round expands
-its best unexpanded nodes along edges of either direction and keeps the best
-``width``.
+The descent ends when hardly an edge changes. A query, itself a node, starts
+from its own neighbours; every round expands the best unexpanded of its best
+``WIDTH`` nodes along edges of either direction, until none of them is left.
 
 A vector held by many rows is one node with its six smallest ids, taken by a
 window that prunes before the shuffle. A popular node's reverse edges are a
@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from listforge.llm._common import durable
 
-K, REVERSE, ROUNDS, LEAF, PLANES, TREES = 24, 16, 4, 128, 5, 3
-WIDTH, EXPAND, HOPS = 96, 24, 6
+K, REVERSE, LEAF, PLANES, TREES = 24, 16, 128, 5, 3
+#: Best partners that each member of a local join keeps, and the share of new edges below which the descent ends.
+PARTNERS, SETTLED = 12, 0.02
+WIDTH, EXPAND = 96, 24
 
 
 def unit(batch: pa.Array, dim: int) -> np.ndarray:
@@ -106,7 +108,7 @@ def descend(graph: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
             for members in batch.column(0):
                 ids = members.values.field("m").to_numpy()
                 x = np.stack([np.frombuffer(v.as_buffer(), np.float16) for v in members.values.field("half")]).astype(np.float32)
-                found.append(_within((ids, x), dim, 6))
+                found.append(_within((ids, x), dim, PARTNERS))
             if found:
                 u, v, s = (np.concatenate(y) for y in zip(*found))
                 _, first = np.unique(u * np.int64(1 << 31) ^ v, return_index=True)
@@ -134,8 +136,10 @@ def nearest(vectors: DataFrame, is_query, top: int = 5) -> DataFrame:
     nodes = durable(nodes.select("id", "ids", "embedding", "key").mapInArrow(halve, f"id long, ids array<long>, embedding {emb}, key string, half binary"))
     n = nodes.count()
     graph = durable(best(start(nodes, dim, n), K))
-    for _ in range(ROUNDS):
-        graph = descend(graph, nodes, dim)
+    while True:  # ends: a round only replaces edges by better ones
+        before, graph = graph, descend(graph, nodes, dim)
+        if graph.join(before, ["u", "v"], "left_anti").count() <= SETTLED * graph.count():
+            break
     edges = durable(both_ways(graph, 2 * REVERSE).groupBy("c").agg(F.collect_list("m").alias("ms")))
     asked = durable(ok.filter(is_query).join(nodes.select("key", "id"), "key").select(F.col("vec_id").alias("q"), F.col("id").alias("node"), "embedding").dropDuplicates(["q"]))
 
@@ -149,10 +153,13 @@ def nearest(vectors: DataFrame, is_query, top: int = 5) -> DataFrame:
         return rows.select("q", "node", "a", "b").mapInArrow(score, "q long, node long, s double")
 
     seen = durable(scored(asked.select("q", "node")).withColumn("open", F.lit(True)))
-    for _ in range(HOPS):
-        order = Window.partitionBy("q").orderBy(F.desc("open"), F.desc("s"), "node")
-        ranked = seen.withColumn("turn", F.row_number().over(order)).withColumn("go", F.col("open") & (F.col("turn") <= EXPAND))
+    order = Window.partitionBy("q").orderBy(F.desc("s"), "node")
+    while True:  # ends when none of a query's best WIDTH is open
+        ranked = seen.withColumn("near", F.col("open") & (F.row_number().over(order) <= WIDTH))
+        ranked = ranked.withColumn("go", F.col("near") & (F.sum(F.col("near").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) <= EXPAND))
         ranked = durable(ranked.select("q", "node", "s", (F.col("open") & ~F.col("go")).alias("open"), "go"))
+        if ranked.filter("go").isEmpty():
+            break
         step = ranked.filter("go").join(edges, F.col("node") == F.col("c")).select("q", F.explode("ms").alias("node")).distinct()
         fresh = step.join(ranked.select("q", "node"), ["q", "node"], "left_anti")
         seen = durable(ranked.drop("go").union(scored(fresh).withColumn("open", F.lit(True))))
