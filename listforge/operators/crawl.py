@@ -4,11 +4,15 @@ Each round takes every site's next pages (details before searches), joins them
 with the snapshot, extracts, and adds what is unseen to the frontier. The
 loop's state is three tables, checkpointed each round; nothing of it but one
 emptiness test reaches the driver. Within a round pages are taken in the order
-(class, generation, url), so a run is the same whatever the partitioning.
+(class, generation, url), so a run is the same whatever the partitioning. A URL
+that the snapshot lacks is a failed fetch: it is read, as an empty page, and
+counts. The crawl ends when frontiers or page budgets are used up.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +21,7 @@ from listforge.operators import pages as P
 from listforge.operators import tables
 
 
-def crawl(start: DataFrame, snapshot: DataFrame, max_pages: int = 300, per_round: int = 50, apartments_only: bool = False, rounds: int = 100) -> DataFrame:
+def crawl(start: DataFrame, snapshot: DataFrame, max_pages: int = 300, per_round: int = 50, apartments_only: bool = False, rounds: int | None = None) -> DataFrame:
     """url, site, page_class, generation, crawl_seq of the pages read. start: url, site; snapshot: url, status_code, html."""
     sites = tables.site_table(start.sparkSession).select(F.col("name").alias("site"), "detail_patterns", "useful_words")
     spark = start.sparkSession
@@ -27,12 +31,12 @@ def crawl(start: DataFrame, snapshot: DataFrame, max_pages: int = 300, per_round
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crawl-"))
     frontier = start.select("url", "site", F.lit(1).alias("rank"), F.lit(0).alias("generation")).distinct().checkpoint()
     read = frontier.limit(0).select("url", "site", "generation", F.lit("").alias("page_class"), F.lit(0).cast("long").alias("crawl_seq"))
-    for generation in range(1, rounds + 1):
+    for generation in itertools.count(1) if rounds is None else range(1, rounds + 1):
         done = read.groupBy("site").agg(F.count("*").alias("n"))
         order = Window.partitionBy("site").orderBy("rank", "generation", "url")
         turn = frontier.join(tables.unseen(frontier.select("url"), read), "url").withColumn("turn", F.row_number().over(order)).join(done, "site", "left")
         turn = turn.filter((F.col("turn") <= per_round) & (F.coalesce("n", F.lit(0)) + F.col("turn") <= max_pages))
-        got = P.parse_html(turn.join(snapshot, "url").join(F.broadcast(sites), "site").withColumn("is_detail", S.detail_url(F.col("url"), F.col("detail_patterns"))))
+        got = P.parse_html(turn.join(snapshot, "url", "left").join(F.broadcast(sites), "site").withColumn("is_detail", S.detail_url(F.col("url"), F.col("detail_patterns"))))
         got = got.withColumn("text", F.coalesce("page.text", F.lit(""))).withColumn("page_class", P.page_class()).withColumn("crawl_seq", F.coalesce("n", F.lit(0)) + F.col("turn")).checkpoint()
         if got.isEmpty():
             break

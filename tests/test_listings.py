@@ -151,3 +151,14 @@ def test_crawl(spark):
     got = {r["url"].removeprefix(base): r["page_class"] for r in crawl(start, snap).collect()}
     assert got == {"/casas-en-venta": "search", "/casa-en-venta--1234567": "detail", "/casas-en-venta?page=2": "http_error"}
     assert crawl(start, snap, max_pages=1).count() == 1
+
+
+def test_crawl_moves_past_missing_pages(spark):
+    from listforge.operators.crawl import crawl
+
+    base = "https://www.argenprop.com"
+    snap = spark.createDataFrame([(base + "/casas-en-venta", 200, "".join(f'<a href="/casa-en-venta--100000{i}">a</a>' for i in range(7))), (base + "/casa-en-venta--1000006", 200, "<p>USD 1</p>")], "url string, status_code int, html string")
+    start = spark.createDataFrame([(base + "/casas-en-venta", "argenprop")], "url string, site string")
+    got = {r["url"].removeprefix(base): (r["page_class"], r["crawl_seq"]) for r in crawl(start, snap, per_round=3).collect()}
+    assert got == {"/casas-en-venta": ("search", 1)} | {f"/casa-en-venta--100000{i}": ("empty", i + 2) for i in range(6)} | {"/casa-en-venta--1000006": ("detail", 8)}
+    assert crawl(start, snap, max_pages=5, per_round=2).count() == 5
