@@ -1,11 +1,15 @@
 """The pipeline's stages with null and shared doc_ids, against brute force."""
 
 import collections
+import hashlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 
-from listforge.llm import minhash, mixing, quality
+import corpus_pipeline
+from listforge.llm import bpe, minhash, mixing, pii, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 COMMON = "the of and to in is that was a he it for on with as his at by from this".split()
@@ -85,3 +89,41 @@ def test_mix_takes_each_row_as_often_as_planned(docs):
     for r in mixing.mixed(docs).collect():
         got[(r["source"], r["doc_id"], len((r["text"] or "").split()))] += 1
     assert +planned == got and not set(counted(mixing.mixed(docs))) - set(ROWS)
+
+
+def test_whole_pipeline(spark, docs, tmp_path):
+    """Every stage on what the one before gave, and run(), by brute force."""
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(corpus_pipeline.RANKS)), special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+
+    def coded(doc_id, text):
+        ids = np.array(own.encode_ordinary(text or ""), "<u4")
+        return doc_id, len(ids), sha(ids.tobytes()), sha((text or "").encode())
+
+    p = pii.Permutation(pii.KEY)
+    rows, seen = list(ROWS), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
+        if name == "byte_bpe":
+            got = collections.Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out.collect())
+            assert got == collections.Counter(coded(r[0], r[1]) for r in rows)
+            break
+        before, rows = rows, [tuple(r) for r in out.collect()]
+        seen[name] = rows
+        if name == "pii":
+            assert collections.Counter(rows) == collections.Counter((i, pii.replaced(p, t)[0] if t else t, *rest) for i, t, *rest in before)
+        elif name == "mixing":
+            assert rows and set(rows) <= set(before)
+        else:
+            assert rows and not collections.Counter(rows) - collections.Counter(before)
+        if name == "near_dedup":
+            assert len(rows) == len({g for g in groups_of([r[1] for r in before]) if g is not None})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    able = {coded(i, pii.replaced(p, t)[0] if t else t): t for i, t, *_ in seen["quality_rules"]}
+    assert set(got) <= set(able)
+    texts = list({able[g] for g in got})
+    groups = groups_of(texts)
+    assert len(set(groups)) == len(groups)
+    for shared in (None, 7):
+        assert len({g for g in got if g[0] == shared}) > 5
