@@ -35,6 +35,8 @@ STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "was", "de", "la", "
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_marks", "n_stop_words")
 ROUNDS = 50
 THRESHOLD = 0.5
+#: How many rules ``votes`` has.
+RULES = 8
 
 def repeat_words(words: list[bytes]) -> int:
     """Words inside 3-word windows that the text has twice or more."""
@@ -151,7 +153,7 @@ def _coded(measured: DataFrame) -> DataFrame:
 
 
 def _decode(pattern: int) -> tuple[int, ...]:
-    return tuple(pattern // 3**j % 3 for j in range(len(votes())))
+    return tuple(pattern // 3**j % 3 for j in range(RULES))
 
 
 def _fitted(coded: DataFrame) -> tuple[list[int], float, list[tuple[float, float]]]:
