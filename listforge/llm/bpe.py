@@ -1,17 +1,21 @@
 """Byte-level BPE: Spark higher-order functions fold merges over distinct words.
 
-The work is done once per distinct word. Documents are cut into pre-tokens and
-packed into blocks: the block's distinct words, and its documents as numbers
-into them. Words meet in buckets by hash, packed, where they are made distinct,
-and each is encoded by one expression: a fold over an array of byte strings that joins, at each step,
-the neighbours of lowest rank, looked up in a literal rank map (hashed into an
-array of small maps, so that a lookup takes constant time). Ids go back to the
-blocks, packed; documents are then put together, and decoded by concatenating
-their ids' byte strings.
+Documents are cut into pre-tokens and packed into blocks: the block's distinct
+words, and its documents as numbers into them. Words meet in buckets by hash,
+where they are made distinct, and each is encoded by one expression: a fold
+over an array of token numbers that starts from the word's bytes and joins, at
+each step, the neighbours of lowest rank, looked up in a literal rank map. Ids
+go back to the blocks, packed; documents are then put together, and decoded by
+concatenating their ids' byte strings.
+
+What moves is each block's vocabulary and, once, the blocks. A block's words
+are packed in order of (bucket, word), so that packets need no word numbers:
+a packet's ids come back in the order in which its words were sent. Blocks meet
+within regions of about ``REGION`` blocks, so a word is encoded once a region
+and a bucket's size is bounded whatever the input.
 
 Words above ``LONG`` bytes, where a fold would take quadratic time, are encoded
-by the same merges in a heap. What moves is each block's vocabulary, never the
-running text.
+by the same merges in a heap; tokens that merges do not lead to are looked up.
 
 Edge cases: a null or empty text has no tokens. Texts of any length are read
 whole; a block holds at least one document. Repeated rows, equal ids and null
@@ -25,6 +29,7 @@ import base64
 import heapq
 import json
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,14 +40,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm._common import durable, input_bytes
+from listforge.llm._common import give_back, input_bytes, small_batches, trimmed
 from listforge.llm.recurrence import BUCKET_BYTES, pack_table, ragged, unpack
 
-BLOCK_BYTES = 16 << 20
-LONG = 64
-#: Places of a word that a row carries; a more frequent word has several rows.
-SLICE = 4096
-SLOTS = 1 << 16
+#: Characters of text in a block, above which it is closed.
+BLOCK_CHARS = 12 << 20
+#: Blocks that meet one another, and the buckets their words meet in.
+REGION, BUCKETS = 512, 64
+LONG = 128
+#: Words of a row that the fold works on.
+CHUNK_WORDS = 1024
+#: Longer texts are cut into words one at a time.
+LONG_TEXT = 1 << 20
+#: A token number is below 2^20; a pair of them and its rank share a long.
+BITS = 20
 NO_RANK = 1 << 30
 
 
@@ -51,17 +62,56 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """array<map<string,int>>: slot h holds the hex byte strings whose CRC leaves h. Catalyst folds it to one literal."""
-    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
-    for piece, rank in ranks.items():
-        slots[zlib.crc32(piece) % SLOTS][piece.hex().upper()] = rank
-    return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
+class RankMap:
+    """Pairs of token numbers to the rank of their join, as literals in a plan.
 
+    Two arrays hold a hash table without collisions: a pair's group displaces
+    its slot. ``start`` has the number of each single byte.
+    """
 
-def rank_of(piece: Column, table: Column) -> Column:
-    """Rank of a byte string, null if it has none."""
-    return F.try_element_at(F.get(table, (F.crc32(piece) % SLOTS).cast("int")), F.hex(piece))
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        if max(ranks.values(), default=0) >> BITS:
+            raise ValueError(f"a rank above {1 << BITS}")
+        pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.groups, self.slots = max(1, len(pairs) // 3) | 1, 2 * len(pairs) | 1
+        while not self._place(pairs):
+            self.groups, self.slots = self.groups + 2, self.slots + 2
+        self.start = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.unreached = frozenset(t for t, r in ranks.items() if len(t) > 1 and encode_long(t, ranks) != [r])
+
+    def _place(self, pairs: dict[tuple[int, int], int]) -> bool:
+        groups = defaultdict(list)
+        for (a, b), rank in pairs.items():
+            key = (a << BITS) + b
+            groups[key % self.groups].append((key, rank))
+        self.entries, self.moves = [-1] * self.slots, [0] * self.groups
+        free, rng = np.ones(self.slots, bool), np.random.default_rng(5)
+        for g, own in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
+            at = np.array([key % self.slots for key, _ in own])
+            if len(set(at.tolist())) < len(at):
+                return False  # two pairs that no move parts
+            for _ in range(10_000):
+                move = int(rng.integers(self.slots))
+                to = (at + move) % self.slots
+                if free[to].all():
+                    break
+            else:
+                return False
+            free[to], self.moves[g] = False, move
+            for i, (key, rank) in zip(to.tolist(), own):
+                self.entries[i] = (key << BITS) + rank
+        return True
+
+    def literal(self) -> Column:
+        """struct(entries, moves, start): Catalyst folds it to one literal."""
+        held = json.dumps({"entries": self.entries, "moves": self.moves, "start": self.start}, separators=(",", ":"))
+        return F.from_json(F.lit(held), "entries array<bigint>, moves array<int>, start array<int>")
+
+    def rank(self, a: Column, b: Column, table: Column) -> Column:
+        """Rank of two neighbours' join, NO_RANK if it has none."""
+        key = F.shiftleft(a.cast("long"), BITS) + b
+        slot = ((key % self.slots + F.get(table["moves"], (key % self.groups).cast("int"))) % self.slots).cast("int")
+        return let(F.get(table["entries"], slot), lambda e: F.when(F.shiftright(e, BITS) == key, (e % (1 << BITS)).cast("int")).otherwise(NO_RANK))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -69,44 +119,36 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def encoded(word: Column, table: Column) -> Column:
-    """Ids of one word (binary): merges of lowest rank first, as a fold.
+def encoded(word: Column, ranks: RankMap, table: Column) -> Column:
+    """Ids of one word (its bytes as array<tinyint>): merges of lowest rank first, as a fold.
 
-    The state is (pieces, ranks): ranks[i] belongs to the join of pieces i and
-    i + 1, -1 where that isn't looked up yet. A step looks up what is missing
-    and joins the leftmost pair of lowest rank; without one it changes nothing.
+    The state is (p, r): pieces, and the rank of each piece's join with the
+    next. A step joins the leftmost pair of lowest rank and looks up the two
+    pairs that this makes; without a pair to join it changes nothing.
     """
+    none, rest = F.slice(F.array(F.lit(0)), 1, 0), F.lit(1 << 20)
 
     def step(state: Column, _: Column) -> Column:
-        fresh = F.transform(state["r"], lambda r, i: F.when(r >= 0, r).otherwise(F.coalesce(rank_of(F.concat(F.get(state["p"], i), F.get(state["p"], i + 1)), table), F.lit(NO_RANK))))
+        p, r = state["p"], state["r"]
 
-        def join(r: Column) -> Column:
-            def at(best: Column) -> Column:
-                def merged(i: Column) -> Column:  # i: place of the pair, from 1
-                    p, rest = state["p"], F.lit(LONG)
-                    pieces = F.concat(F.slice(p, F.lit(1), i - 1), F.array(F.concat(F.get(p, i - 1), F.get(p, i))), F.slice(p, i + 2, rest))
-                    before = F.when(i > 1, F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), F.array(F.lit(-1)))).otherwise(F.slice(r, F.lit(1), F.lit(0)))
-                    after = F.when(i < F.size(r), F.concat(F.array(F.lit(-1)), F.slice(r, i + 2, rest))).otherwise(F.slice(r, F.lit(1), F.lit(0)))
-                    return F.struct(pieces.alias("p"), F.concat(before, after).alias("r"))
+        def joined(best: Column) -> Column:
+            def at(i: Column) -> Column:  # place of the pair, from 1; its rank is its number
+                left = F.when(i > 1, F.concat(F.slice(r, F.lit(1), i - 2), F.array(ranks.rank(F.get(p, i - 2), best, table)))).otherwise(none)
+                right = F.when(i < F.size(r), F.concat(F.array(ranks.rank(best, F.get(p, i + 1), table)), F.slice(r, i + 2, rest))).otherwise(none)
+                return F.struct(F.concat(F.slice(p, F.lit(1), i - 1), F.array(best), F.slice(p, i + 2, rest)).alias("p"), F.concat(left, right).alias("r"))
 
-                done = F.struct(state["p"].alias("p"), F.slice(r, F.lit(1), F.lit(0)).alias("r"))
-                return F.when(best < NO_RANK, let(F.array_position(r, best).cast("int"), merged)).otherwise(done)
+            return F.when(best < NO_RANK, let(F.array_position(r, best).cast("int"), at)).otherwise(F.struct(p.alias("p"), none.alias("r")))
 
-            return F.when(F.size(r) > 0, let(F.array_min(r), at)).otherwise(F.struct(state["p"].alias("p"), r.alias("r")))
+        return F.when(F.size(r) > 0, let(F.array_min(r), joined)).otherwise(state)
 
-        return let(fresh, join)
-
-    n = F.octet_length(word)
-    singles = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-    start = F.struct(singles.alias("p"), F.array_repeat(F.lit(-1), n - 1).alias("r"))
-    folded = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda state: F.transform(state["p"], lambda x: rank_of(x, table)))
-    return let(rank_of(word, table), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(folded))
+    n = F.size(word)
+    singles = F.transform(word, lambda b: F.get(table["start"], F.when(b < 0, b.cast("int") + 256).otherwise(b.cast("int"))))
+    start = let(singles, lambda p: F.struct(p.alias("p"), F.when(n > 1, F.transform(F.slice(p, F.lit(1), n - 1), lambda a, i: ranks.rank(a, F.get(p, i + 1), table))).otherwise(none).alias("r")))
+    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda state: state["p"])
 
 
 def encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges with a heap, for words of any length."""
-    if word in ranks:
-        return [ranks[word]]
     ends, back, forth = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1)), list(range(1, len(word) + 1))
     alive = [True] * len(word)
 
@@ -132,16 +174,49 @@ def encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : ends[i]]] for i in range(len(word)) if alive[i]]
 
 
-def blocks_of(docs: DataFrame, pattern: str) -> DataFrame:
-    """block, words (distinct, packed), payload: doc_ids and their numbers into words."""
+def one_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    return [ranks[word]] if word in ranks else encode_long(word, ranks)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Integers as four planes of bytes, which pack better apart."""
+    return b"".join(((x >> s) & 255).astype(np.uint8).tobytes() for s in (0, 8, 16, 24))
+
+
+def _unplaned(buffer) -> np.ndarray:
+    out = np.zeros(len(buffer) // 4, np.int32)
+    for s, plane in enumerate(np.frombuffer(buffer, np.uint8).reshape(4, -1)):
+        out |= plane.astype(np.int32) << 8 * s
+    return out
+
+
+def blocks_of(docs: DataFrame, pattern: str, n_parts: int) -> DataFrame:
+    """block, words (distinct, by bucket), payload (doc_ids, numbers into words), dealt by block.
+
+    The two readers of this frame take all its columns: their exchanges are
+    then one, so every text is cut and every block written once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, base, made = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32, 0
+        cutter, base, made = regex.compile(pattern), TaskContext.get().partitionId() * 1_000_003, 0
+
+        def cut(text: str) -> np.ndarray:
+            if len(text) < LONG_TEXT:
+                return np.array([seen.setdefault(w, len(seen)) for w in cutter.findall(text)], np.int32)
+            return np.fromiter((seen.setdefault(m[0], len(seen)) for m in cutter.finditer(text)), np.int32)
 
         def close() -> pa.RecordBatch:
-            flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
-            t = pa.table({"doc_id": pa.array(ids, pa.int64()), "numbers": pa.LargeListArray.from_arrays(pa.array(np.cumsum([0, *map(len, numbers)]), pa.int64()), pa.array(flat))})
-            return pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([pack_table(pa.table({"word": pa.array([w.encode() for w in seen], pa.binary())}))], pa.binary()), pa.array([pack_table(t)], pa.binary())], ["block", "words", "payload"])
+            flat = np.concatenate(numbers)
+            often = np.argsort(-np.bincount(flat, minlength=len(seen)), kind="stable")  # frequent words get small numbers
+            small = np.empty(len(seen), np.int32)
+            small[often] = np.arange(len(seen), dtype=np.int32)
+            words = [w.encode() for w in seen]
+            bucket = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int32)
+            t = pa.table({"bucket": pa.array(bucket), "word": pa.array(words, pa.binary()), "number": pa.array(small)}).sort_by([("bucket", "ascending"), ("word", "ascending")])
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=BUCKETS))])
+            packed = pa.table({"words": [pack_table(t.select(["word"]).slice(cuts[i], cuts[i + 1] - cuts[i])) if cuts[i] < cuts[i + 1] else None for i in range(BUCKETS)]}, schema=pa.schema([("words", pa.binary())]))
+            own = pa.table({"ids": [pack_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(x) for x in numbers], pa.int64())}))], "flat": [_planes(small[flat])], "order": [_planes(t.column("number").to_numpy())]}, schema=pa.schema([(c, pa.large_binary()) for c in ("ids", "flat", "order")]))
+            return pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([pack_table(packed)], pa.binary()), pa.array([pack_table(own)], pa.binary())], ["block", "words", "payload"])
 
         seen: dict[str, int] = {}
         ids, numbers, held = [], [], 0
@@ -149,107 +224,149 @@ def blocks_of(docs: DataFrame, pattern: str) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 ids.append(doc)
-                numbers.append(np.array([seen.setdefault(w, len(seen)) for w in find(text)], np.int32))
+                numbers.append(cut(text))
                 held += len(text)
-                if held >= BLOCK_BYTES:
+                if held >= BLOCK_CHARS or len(seen) >= 1 << 21:
                     yield close()
                     seen, ids, numbers, held, made = {}, [], [], 0, made + 1
         if ids:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return durable(rows.mapInArrow(run, "block long, words binary, payload binary"))
+    return rows.mapInArrow(trimmed(run), "block long, words binary, payload binary").repartition(n_parts, "block")
 
 
-def met_words(blocks: DataFrame, n_buckets: int) -> DataFrame:
-    """word, refs: every distinct word and (block, number) of where it stands, packed; at most SLICE of them a row."""
+def met_words(blocks: DataFrame, regions: int, unreached: frozenset[bytes]) -> DataFrame:
+    """words (distinct, some CHUNK_WORDS of them, as bytes), long (those that the fold leaves), refs: packed (block, places in words) of where they stand."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = unpack(packed.as_buffer()).column("word").to_pylist()
-                parts: list[list[int]] = [[] for _ in range(n_buckets)]
-                for i, w in enumerate(words):
-                    parts[zlib.crc32(w) % n_buckets].append(i)
-                for bucket, own in enumerate(parts):
-                    if own:
-                        own.sort(key=words.__getitem__)  # neighbours that begin alike pack well
-                        t = pa.table({"number": pa.array(own, pa.int32()), "word": pa.array([words[i] for i in own], pa.binary())})
-                        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], pa.int64()), pa.array([pack_table(t)], pa.binary())], ["bucket", "block", "packed"])
+                parts = unpack(packed.as_buffer()).column("words").combine_chunks()
+                own = np.flatnonzero(parts.is_valid().to_numpy(zero_copy_only=False)).astype(np.int32)
+                key = (block % regions) * BUCKETS + own
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(own), pa.array(np.full(len(own), block)), parts.take(pa.array(own)).cast(pa.binary())], ["key", "bucket", "block", "packed"])
 
     def meet(t: pa.Table) -> pa.Table:
-        refs: dict[bytes, list[int]] = {}
-        for block, packed in zip(t.column("block").to_pylist(), t.column("packed")):
-            own = unpack(packed.as_buffer())
-            for number, word in zip(own.column("number").to_pylist(), own.column("word").to_pylist()):
-                refs.setdefault(word, []).extend((block, number))
-        rows = [(w, np.array(r[i : i + 2 * SLICE], np.int64).tobytes()) for w, r in refs.items() for i in range(0, len(r), 2 * SLICE)]
-        return pa.table({"word": pa.array([w for w, _ in rows], pa.binary()), "refs": pa.array([r for _, r in rows], pa.binary())})
-
-    dealt = blocks.select("block", "words").mapInArrow(deal, "bucket int, block long, packed binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "word binary, refs binary")
+        blocks_, parts = t.column("block").to_numpy(), [unpack(x.as_buffer()).column("word") for x in t.column("packed")]
+        sizes = [len(x) for x in parts]
+        every = pa.chunked_array([c for x in parts for c in x.chunks], pa.binary()).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(every.dictionary).to_numpy()
+        words = every.dictionary.take(pa.array(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        place = np.split(rank[every.indices.to_numpy()], np.cumsum(sizes)[:-1])
+        offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4)
+        apart = np.diff(offsets) > LONG
+        if unreached:
+            apart |= pc.is_in(words, pa.array(sorted(unreached), pa.binary())).to_numpy(zero_copy_only=False)
+        raw = pa.Array.from_buffers(pa.int8(), int(offsets[-1]), [None, words.buffers()[2]])
+        rows = []
+        for a in range(0, len(words), CHUNK_WORDS):
+            z = min(a + CHUNK_WORDS, len(words))
+            refs, own_blocks, at = [], [], []
+            for block, own in zip(blocks_, place):
+                i, j = np.searchsorted(own, (a, z))
+                if i < j:
+                    refs.append((own[i:j] - a).astype(np.uint16))
+                    own_blocks.append(block)
+                    at.append(i)
+            held = pack_table(pa.table({"block": pa.array(own_blocks, pa.int64()), "at": pa.array(at, pa.int32()), "places": pa.array(refs, pa.list_(pa.uint16()))}))
+            bytes_, ends, long = raw.slice(offsets[a], offsets[z] - offsets[a]), offsets[a : z + 1] - offsets[a], []
+            if apart[a:z].any():  # such a word's first byte keeps its place
+                long = [(int(k), words[a + int(k)].as_py().hex()) for k in np.flatnonzero(apart[a:z])]
+                n = np.where(apart[a:z], 1, np.diff(ends))
+                index, _ = ragged(ends[:-1].astype(np.int64), n)
+                bytes_, ends = bytes_.take(pa.array(index)), np.concatenate([[0], np.cumsum(n)])
+            rows.append((held, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), bytes_), json.dumps(long)))
+        held, lists, long = zip(*rows)
+        each = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.concat_arrays(lists))
+        bucket = t.column("bucket")[0].as_py()
+        out = pa.table({"bucket": pa.array([bucket] * len(rows), pa.int32()), "refs": pa.array(held, pa.binary()), "words": each, "long": pa.array(long, pa.string())})
+        give_back()
+        return out
+
+    dealt = blocks.mapInArrow(deal, "key long, bucket int, block long, packed binary")
+    return dealt.groupBy("key").applyInArrow(meet, "bucket int, refs binary, words array<array<tinyint>>, long string")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit integers, packed) of every row of docs."""
+    small_batches(docs.sparkSession)
     # The rank map is a literal of megabytes: plans are not to be printed with all of it.
     conf, name = docs.sparkSession.conf, "spark.sql.maxPlanStringLength"
     conf.set(name, str(min(int(conf.get(name).rstrip("b")), 1 << 18)))
-    blocks = blocks_of(docs, pattern)
-    words = met_words(blocks, max(8, -(-input_bytes(docs) // BUCKET_BYTES)))
-    short = F.octet_length("word") <= LONG
-    coded = words.select("refs", F.when(short, let(rank_map(ranks), lambda table: encoded(F.col("word"), table))).alias("ids"), F.when(~short, F.col("word")).alias("long"))
+    held = input_bytes(docs)
+    blocks = blocks_of(docs, pattern, max(8, -(-held // BUCKET_BYTES)))
+    rank_map = RankMap(ranks)
+    folded = let(rank_map.literal(), lambda table: F.transform("words", lambda w: encoded(w, rank_map, table)))
+    coded = met_words(blocks, max(1, held // (REGION * BLOCK_CHARS)), rank_map.unreached).select("bucket", "refs", "long", folded.alias("ids"))
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            ids = batch.column(1)
-            if batch.column(2).null_count < len(batch):
-                ids = pa.array([x if w is None else encode_long(w, ranks) for x, w in zip(ids.to_pylist(), batch.column(2).to_pylist())], pa.list_(pa.int32()))
-            refs = [np.frombuffer(r.as_buffer(), np.int64).reshape(-1, 2) for r in batch.column(0)]
-            row = np.repeat(np.arange(len(refs)), [len(r) for r in refs])
-            block, number = np.concatenate(refs).T
-            order = np.argsort(block, kind="stable")
-            heads = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1]]))
-            for own in np.split(order, heads[1:]):
-                t = pa.table({"number": pa.array(number[own].astype(np.int32)), "ids": ids.take(pa.array(row[own]))})
-                yield pa.RecordBatch.from_arrays([pa.array([block[own[0]]], pa.int64()), pa.array([pack_table(t)], pa.binary())], ["block", "packed"])
-
-    coded = coded.mapInArrow(back, "block long, packed binary").groupBy("block").agg(F.collect_list("packed").alias("coded"))
+            for bucket, held, long, lists in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
+                lists = lists.values
+                if long != "[]":
+                    whole = {k: one_word(bytes.fromhex(w), ranks) for k, w in json.loads(long)}
+                    lists = pa.array([whole.get(k, x) for k, x in enumerate(lists.to_pylist())], pa.list_(pa.int32()))
+                length, flat = pc.list_value_length(lists).to_numpy(), pc.list_flatten(lists).to_numpy()
+                start = np.concatenate([[0], np.cumsum(length)])[:-1]
+                t = unpack(held.as_buffer())
+                places = [x.values.to_numpy() for x in t.column("places")]
+                packed = []
+                for own in places:
+                    n = length[own]
+                    index, _ = ragged(start[own], n)
+                    packed.append(pack_table(pa.table({"n": [n.astype(np.uint32).tobytes()], "ids": [_planes(flat[index])]})))
+                yield pa.RecordBatch.from_arrays([t.column("block").combine_chunks(), pa.array([bucket] * len(t), pa.int32()), t.column("at").combine_chunks(), pa.array(packed, pa.binary())], ["block", "bucket", "at", "packed"])
+
+    coded = coded.mapInArrow(trimmed(back), "block long, bucket int, at int, packed binary").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "at", "packed"))).alias("coded"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, packed in zip(batch.column(0), batch.column(1).to_pylist()):
-                t = unpack(payload.as_buffer())
-                if packed:
-                    own = pa.concat_tables([unpack(x) for x in packed]).combine_chunks()
-                    number, lists = own.column("number").to_numpy(), own.column("ids").combine_chunks()
-                    lengths = np.zeros(len(number), np.int64)
-                    lengths[number] = pc.list_value_length(lists).to_numpy()
-                    starts = np.concatenate([[0], np.cumsum(lengths)])
-                    ids = pc.list_flatten(lists.take(pa.array(np.argsort(number)))).to_numpy().astype("<u4")
-                out = []
-                for numbers in (x.values.to_numpy() for x in t.column("numbers")):
-                    if not len(numbers):
-                        out.append(b"")
-                        continue
-                    index, _ = ragged(starts[numbers], lengths[numbers])
-                    out.append(ids[index].tobytes())
-                yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(out, pa.binary())], ["doc_id", "ids"])
-
-    return blocks.select("block", "payload").join(coded, "block", "left").select("payload", "coded").mapInArrow(run, "doc_id long, ids binary")
+            for payload, packed in zip(batch.column(2), batch.column(3)):
+                own = unpack(payload.as_buffer())
+                docs_ = unpack(own.column("ids")[0].as_buffer())
+                numbers, order = _unplaned(own.column("flat")[0].as_buffer()), _unplaned(own.column("order")[0].as_buffer())
+                parts_ = [unpack(x["packed"].as_buffer()) for x in (packed.values if packed.is_valid else [])]
+                ids = np.concatenate([np.zeros(0, np.int32), *(_unplaned(p.column("ids")[0].as_buffer()) for p in parts_)]).astype("<u4")
+                n = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(p.column("n")[0].as_buffer(), np.uint32) for p in parts_)]).astype(np.int64)
+                lengths, starts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+                lengths[order], starts[order] = n, np.concatenate([[0], np.cumsum(n)])[:-1]
+                doc_ids, ends = docs_.column("doc_id").combine_chunks(), np.cumsum(docs_.column("n").to_numpy())
+                # Some documents at a time, of about a million words, or one longer.
+                a, begin = 0, 0
+                while a < len(ends):
+                    z = max(a + 1, int(np.searchsorted(ends, begin + (1 << 20))))
+                    part = numbers[begin : ends[z - 1]]
+                    index, _ = ragged(starts[part], lengths[part])
+                    words_at = np.concatenate([[0], np.cumsum(lengths[part])])
+                    bounds = words_at[np.concatenate([[0], ends[a:z] - begin])]
+                    data = ids[index]
+                    out = pa.array([data[i:j].tobytes() for i, j in zip(bounds, bounds[1:])], pa.binary())
+                    yield pa.RecordBatch.from_arrays([doc_ids.slice(a, z - a), out], ["doc_id", "ids"])
+                    a, begin = z, int(ends[z - 1])
+
+    return blocks.join(coded, "block", "left").mapInArrow(trimmed(run), "doc_id long, ids binary")
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """doc_id, ids and text (binary): the ids' byte strings, concatenated."""
-    pieces = [b""] * (max(ranks.values()) + 1)
+    small_batches(coded.sparkSession)
+    by_rank = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece
+        by_rank[rank] = piece
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pa.array(by_rank, pa.binary())
         for batch in batches:
-            texts = [b"".join(map(pieces.__getitem__, np.frombuffer(x.as_buffer(), "<u4").tolist())) for x in batch.column(1)]
+            texts = []
+            for ids in batch.column(1):
+                numbers, joined = np.frombuffer(ids.as_buffer(), "<u4"), []
+                for i in range(0, len(numbers), 1 << 20):
+                    taken = pieces.take(pa.array(numbers[i : i + (1 << 20)]))  # one buffer: the pieces side by side
+                    joined.append(taken.buffers()[2].to_pybytes() if taken.buffers()[2] else b"")
+                texts.append(b"".join(joined))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "text"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text binary")
+    return coded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, ids binary, text binary")
