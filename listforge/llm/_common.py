@@ -95,6 +95,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint()  # a plan made under this setting
 
 
+def dealt(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """A checkpoint of df dealt by key, whose partitioning later joins on key know: they move the other side alone."""
+    # Fewer parts than a join would make are dealt again by it. An adaptive plan does not pass its partitioning on to the checkpoint.
+    parts = max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    with setting(df.sparkSession, "spark.sql.adaptive.enabled", "false"):
+        return checkpointed(df.repartition(parts, key))
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes that the tables behind df hold by Catalyst's estimate; where it has none, the bytes of text, counted. Joins, whose estimates multiply, do not enter."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm._common import give_back, input_bytes, small_batches, trimmed
+from listforge.llm._common import dealt, give_back, input_bytes, small_batches, trimmed
 from listforge.llm.recurrence import BUCKET_BYTES, pack_table, ragged, unpack
 
 #: Characters of text in a block, above which it is closed.
@@ -191,11 +191,7 @@ def _unplaned(buffer) -> np.ndarray:
 
 
 def blocks_of(docs: DataFrame, pattern: str, n_parts: int) -> DataFrame:
-    """block, words (distinct, by bucket), payload (doc_ids, numbers into words), dealt by block.
-
-    The two readers of this frame take all its columns: their exchanges are
-    then one, so every text is cut and every block written once.
-    """
+    """block, words (distinct, by bucket), payload (doc_ids, numbers into words), dealt by block and checkpointed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, base, made = regex.compile(pattern), TaskContext.get().partitionId() * 1_000_003, 0
@@ -233,7 +229,7 @@ def blocks_of(docs: DataFrame, pattern: str, n_parts: int) -> DataFrame:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(trimmed(run), "block long, words binary, payload binary").repartition(n_parts, "block")
+    return dealt(rows.mapInArrow(trimmed(run), "block long, words binary, payload binary"), n_parts, "block")
 
 
 def met_words(blocks: DataFrame, regions: int, unreached: frozenset[bytes]) -> DataFrame:
@@ -286,8 +282,8 @@ def met_words(blocks: DataFrame, regions: int, unreached: frozenset[bytes]) -> D
         give_back()
         return out
 
-    dealt = blocks.mapInArrow(deal, "key long, bucket int, block long, packed binary")
-    return dealt.groupBy("key").applyInArrow(meet, "bucket int, refs binary, words array<array<tinyint>>, long string")
+    sent = blocks.select("block", "words").mapInArrow(trimmed(deal), "key long, bucket int, block long, packed binary")
+    return sent.groupBy("key").applyInArrow(meet, "bucket int, refs binary, words array<array<tinyint>>, long string")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -324,7 +320,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, packed in zip(batch.column(2), batch.column(3)):
+            for payload, packed in zip(batch.column(0), batch.column(1)):
                 own = unpack(payload.as_buffer())
                 docs_ = unpack(own.column("ids")[0].as_buffer())
                 numbers, order = _unplaned(own.column("flat")[0].as_buffer()), _unplaned(own.column("order")[0].as_buffer())
@@ -347,7 +343,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([doc_ids.slice(a, z - a), out], ["doc_id", "ids"])
                     a, begin = z, int(ends[z - 1])
 
-    return blocks.join(coded, "block", "left").mapInArrow(trimmed(run), "doc_id long, ids binary")
+    return blocks.join(coded, "block", "left").select("payload", "coded").mapInArrow(trimmed(run), "doc_id long, ids binary")
 
 
 def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

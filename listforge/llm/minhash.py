@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listforge.llm import _common
-from listforge.llm._common import input_bytes
+from listforge.llm._common import give_back, input_bytes, trimmed
 from listforge.llm.recurrence import BUCKET_BYTES, NULL_ID, PLACE_BITS, mix64, open_block, pack, pack_table, unpack, word_hashes
 
 MINIMA, BANDS, BITS = 128, 32, 4
@@ -129,7 +129,7 @@ def features(blocks: DataFrame, size: int) -> DataFrame:
                 rows = (block << PLACE_BITS) + np.arange(len(sets))
                 yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.binary()), lists(bands), lists(bits)], ["row", "doc_id", "n_shingles", "set_hash", "bands", "bits"])
 
-    return durable(blocks.mapInArrow(run, "row long, doc_id long, n_shingles long, set_hash binary, bands array<long>, bits array<long>"))
+    return durable(blocks.mapInArrow(trimmed(run), "row long, doc_id long, n_shingles long, set_hash binary, bands array<long>, bits array<long>"))
 
 
 def sets_of(rows: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
@@ -142,7 +142,7 @@ def sets_of(rows: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([(block << PLACE_BITS) + p for p in places], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["row", "shingles"])
 
     wanted = rows.groupBy(_block("row").alias("block")).agg(F.collect_list(_place("row")).alias("places"))
-    return blocks.join(wanted, "block").select("block", "payload", "places").mapInArrow(run, "row long, shingles binary")
+    return blocks.join(wanted, "block").select("block", "payload", "places").mapInArrow(trimmed(run), "row long, shingles binary")
 
 
 def _block(c: str) -> Column:
@@ -173,6 +173,7 @@ def confirmed(pairs: DataFrame, blocks: DataFrame, size: int, percent: int) -> D
                 good = [p for p in wanted if alike(own[p], y, percent)]
                 found_a += [base + p for p in good]
                 found_b += [b] * len(good)
+        give_back()
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
     sets = sets_of(pairs.select(F.col("b").alias("row")).distinct(), blocks, size)
@@ -221,6 +222,7 @@ def links_outside(inside: DataFrame, blocks: DataFrame, size: int, percent: int)
                             seen.add(label[i])
                             found_a.append(a)
                             found_b.append(base + int(place[i]))
+        give_back()
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
     return durable(held.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(meet, "a long, b long"))
@@ -343,6 +345,6 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
                 yield from t.select(names).to_batches()
 
     rest = [f"rest struct<{', '.join(f'`{c}`: {docs.schema[c].dataType.simpleString()}' for c in others)}>"] * bool(others)
-    out = blocks.join(wanted, "block").select("payload", "places").mapInArrow(run, ", ".join(["doc_id long", "text string", *rest]))
+    out = blocks.join(wanted, "block").select("payload", "places").mapInArrow(trimmed(run), ", ".join(["doc_id long", "text string", *rest]))
     own = lambda c: F.col(c).cast(docs.schema[c].dataType) if c in ("doc_id", "text") else F.col("rest")[c]
     return out.select(*[own(c).alias(c) for c in docs.columns])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm._common import durable
+from listforge.llm._common import durable, small_batches, trimmed
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = " \t\n\r\x0b\x0c"
@@ -78,7 +78,8 @@ def _measured(rows: DataFrame, held: str, texts: Callable[[pa.Array], pa.Array],
             columns = [pa.array(c, pa.int64()) for c in zip(*counts)] if counts else [pa.array([], pa.int64())] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [name, *COUNTS])
 
-    return rows.mapInArrow(run, f"{held}, " + ", ".join(f"{c} long" for c in COUNTS))
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(trimmed(run), f"{held}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def measure(docs: DataFrame, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:

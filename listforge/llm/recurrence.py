@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm._common import durable, input_bytes, ready_to_checkpoint
+from listforge.llm._common import dealt, durable, give_back, input_bytes, small_batches, trimmed
 
 BLOCK_BYTES = 4 << 20
 #: Documents in a block at most; a place in a block takes PLACE_BITS bits.
@@ -211,17 +211,10 @@ def pack(docs: DataFrame, n_blocks: int, whole: bool = False) -> DataFrame:
                     begin, held, made = i, 0, made + 1
                 held += size
 
+    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("doc_id", "text")] if whole else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.struct(*others).alias("rest")] * bool(others))
-    dealt = rows.mapInArrow(run, "block long, payload binary").repartition(n_blocks, "block")
-    conf, name = docs.sparkSession.conf, "spark.sql.adaptive.enabled"
-    before = conf.get(name)
-    conf.set(name, "false")  # an adaptive plan does not pass its partitioning on to the checkpoint
-    try:
-        ready_to_checkpoint(docs.sparkSession)
-        return dealt.checkpoint()
-    finally:
-        conf.set(name, before)
+    return dealt(rows.mapInArrow(trimmed(run), "block long, payload binary"), n_blocks, "block")
 
 
 def copies(blocks: DataFrame) -> DataFrame:
@@ -235,7 +228,7 @@ def copies(blocks: DataFrame) -> DataFrame:
                 hashes = [hashlib.blake2b(b"" if x is None else x.as_buffer(), digest_size=16).digest() for x in (v if v.is_valid else None for v in t.column(1).cast(pa.large_binary()))]
                 yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.int64()), pa.array([block] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32())], ["hash", "id", "block", "place"])
 
-    rows = durable(blocks.mapInArrow(texts, "hash binary, id long, block long, place int"))
+    rows = durable(blocks.mapInArrow(trimmed(texts), "hash binary, id long, block long, place int"))
     groups = rows.groupBy("hash").agg(F.min("id").alias("head"), F.max("id").alias("other")).filter("other > head")
     # The groups' side repeats over salts, so one text's copies are joined in many tasks.
     salts = 16
@@ -288,9 +281,10 @@ def recurring(blocks: DataFrame, dup: DataFrame, plan: Plan, n_buckets: int) ->
         cuts = np.cumsum([0, *map(len, owns)])
         kept = [o[keep[a:z]] for o, a, z in zip(owns, cuts, cuts[1:])]
         rows = [i for i, x in enumerate(kept) if len(x)]
+        give_back()
         return pa.table({"block": t.column("block").take(pa.array(rows, pa.int64())), "hashes": pa.array([kept[i].tobytes() for i in rows], pa.binary())})
 
-    rows = blocks.join(dup, "block", "left").select("block", "payload", "copies").mapInArrow(anchors, "bucket int, block long, hashes binary, many binary")
+    rows = blocks.join(dup, "block", "left").select("block", "payload", "copies").mapInArrow(trimmed(anchors), "bucket int, block long, hashes binary, many binary")
     met = rows.groupBy("bucket").applyInArrow(meet, "block long, hashes binary")
     return durable(met.groupBy("block").agg(F.collect_list("hashes").alias("hashes")))
 
@@ -362,9 +356,10 @@ def matches(blocks: DataFrame, dup: DataFrame, found: DataFrame, plan: Plan, n_b
         for p, a in zip(parts, sizes):
             own = firsts[a : a + len(p)]
             out.append(pack_table(pa.table({"segment": p.column("segment"), "n": pa.array([len(x) for x in own], pa.int32()), "same": pa.array([int(x[0]) if len(x) and (x == x[0]).all() else None for x in own], pa.int64()), "first": pa.array([None if len(x) and (x == x[0]).all() else x.tobytes() for x in own], pa.binary())})))
+        give_back()
         return pa.table({"block": pa.array(blocks_, pa.int64()), "firsts": pa.array(out, pa.binary())})
 
-    rows = blocks.join(dup, "block", "left").join(found, "block").select("block", "payload", "copies", "hashes").mapInArrow(cut, "bucket int, block long, packed binary")
+    rows = blocks.join(dup, "block", "left").join(found, "block").select("block", "payload", "copies", "hashes").mapInArrow(trimmed(cut), "bucket int, block long, packed binary")
     met = rows.groupBy("bucket").applyInArrow(meet, "block long, firsts binary")
     return durable(met.groupBy("block").agg(F.collect_list("firsts").alias("firsts")))
 
@@ -407,4 +402,4 @@ def remove_recurring(docs: DataFrame, plan: Plan, emit: Callable[[Block, np.ndar
                 b = open_block(payload.as_buffer(), plan.words)
                 yield pa.RecordBatch.from_arrays(emit(b, covered_units(b, _skip(places, len(b.ids)), hashes, firsts, plan)), [c.split()[0] for c in schema.split(", ")])
 
-    return blocks.join(dup, "block", "left").join(found, "block", "left").join(met, "block", "left").select("payload", "copies", "hashes", "firsts").mapInArrow(finish, schema)
+    return blocks.join(dup, "block", "left").join(found, "block", "left").join(met, "block", "left").select("payload", "copies", "hashes", "firsts").mapInArrow(trimmed(finish), schema)
