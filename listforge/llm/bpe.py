@@ -27,10 +27,12 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 import json
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,7 @@ from listforge.llm._common import dealt, give_back, input_bytes, small_batches,
 from listforge.llm.recurrence import BUCKET_BYTES, pack_table, ragged, unpack
 
 #: Characters of text in a block, above which it is closed.
-BLOCK_CHARS = 12 << 20
+BLOCK_CHARS = 16 << 20
 #: Blocks that meet one another, and the buckets their words meet in.
 REGION, BUCKETS = 512, 64
 LONG = 128
@@ -66,7 +68,8 @@ class RankMap:
     """Pairs of token numbers to the rank of their join, as literals in a plan.
 
     Two arrays hold a hash table without collisions: a pair's group displaces
-    its slot. ``start`` has the number of each single byte.
+    its slot. ``start`` has the number of each single byte, ``two`` the rank of
+    each pair of bytes.
     """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
@@ -77,6 +80,7 @@ class RankMap:
         while not self._place(pairs):
             self.groups, self.slots = self.groups + 2, self.slots + 2
         self.start = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.two = [ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)]
         self.unreached = frozenset(t for t, r in ranks.items() if len(t) > 1 and encode_long(t, ranks) != [r])
 
     def _place(self, pairs: dict[tuple[int, int], int]) -> bool:
@@ -103,15 +107,22 @@ class RankMap:
         return True
 
     def literal(self) -> Column:
-        """struct(entries, moves, start): Catalyst folds it to one literal."""
-        held = json.dumps({"entries": self.entries, "moves": self.moves, "start": self.start}, separators=(",", ":"))
-        return F.from_json(F.lit(held), "entries array<bigint>, moves array<int>, start array<int>")
+        """struct(entries, moves, start, two): Catalyst folds it to one literal."""
+        held = json.dumps({"entries": self.entries, "moves": self.moves, "start": self.start, "two": self.two}, separators=(",", ":"))
+        return F.from_json(F.lit(held), "entries array<bigint>, moves array<int>, start array<int>, two array<int>")
 
-    def rank(self, a: Column, b: Column, table: Column) -> Column:
+    def rank(self, a: Column, b: Column, entries: Column, moves: Column) -> Column:
         """Rank of two neighbours' join, NO_RANK if it has none."""
         key = F.shiftleft(a.cast("long"), BITS) + b
-        slot = ((key % self.slots + F.get(table["moves"], (key % self.groups).cast("int"))) % self.slots).cast("int")
-        return let(F.get(table["entries"], slot), lambda e: F.when(F.shiftright(e, BITS) == key, (e % (1 << BITS)).cast("int")).otherwise(NO_RANK))
+        slot = ((key % self.slots + F.get(moves, (key % self.groups).cast("int"))) % self.slots).cast("int")
+        return let(F.get(entries, slot), lambda e: F.when(F.shiftright(e, BITS) == key, e.bitwiseAND((1 << BITS) - 1).cast("int")).otherwise(NO_RANK))
+
+    def ids(self, words: Column) -> Column:
+        """Ids of each of the words, which are arrays of their bytes' values."""
+        def of(entries: Column, moves: Column, start: Column, two: Column) -> Column:
+            return F.transform(words, lambda word: encoded(word, lambda a, b: self.rank(a, b, entries, moves), start, two))
+
+        return let(self.literal(), lambda t: let(t["entries"], lambda e: let(t["moves"], lambda m: let(t["start"], lambda s: let(t["two"], lambda two: of(e, m, s, two))))))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -119,32 +130,33 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def encoded(word: Column, ranks: RankMap, table: Column) -> Column:
-    """Ids of one word (its bytes as array<tinyint>): merges of lowest rank first, as a fold.
+def encoded(word: Column, rank: Callable[[Column, Column], Column], start: Column, two: Column) -> Column:
+    """Ids of one word: merges of lowest rank first, as a fold.
 
     The state is (p, r): pieces, and the rank of each piece's join with the
     next. A step joins the leftmost pair of lowest rank and looks up the two
-    pairs that this makes; without a pair to join it changes nothing.
+    pairs that this makes; without a pair to join it changes nothing. ``start``
+    has each byte's number, ``two`` each pair of bytes' rank.
     """
-    none, rest = F.slice(F.array(F.lit(0)), 1, 0), F.lit(1 << 20)
+    none, n = F.slice(F.array(F.lit(0)), 1, 0), F.size(word)
 
     def step(state: Column, _: Column) -> Column:
         p, r = state["p"], state["r"]
 
-        def joined(best: Column) -> Column:
-            def at(i: Column) -> Column:  # place of the pair, from 1; its rank is its number
-                left = F.when(i > 1, F.concat(F.slice(r, F.lit(1), i - 2), F.array(ranks.rank(F.get(p, i - 2), best, table)))).otherwise(none)
-                right = F.when(i < F.size(r), F.concat(F.array(ranks.rank(best, F.get(p, i + 1), table)), F.slice(r, i + 2, rest))).otherwise(none)
-                return F.struct(F.concat(F.slice(p, F.lit(1), i - 1), F.array(best), F.slice(p, i + 2, rest)).alias("p"), F.concat(left, right).alias("r"))
+        def joined(best: Column) -> Column:  # the rank of a join is its number
+            def at(i: Column) -> Column:  # place of the pair, from 1
+                pieces = F.filter(F.transform(p, lambda x, j: F.when(j == i - 1, best).otherwise(x)), lambda _, j: j != i)
+                left, right = rank(F.get(p, i - 2), best), rank(best, F.get(p, i + 1))
+                ranks = F.transform(F.filter(r, lambda _, j: j != i - 1), lambda x, j: F.when(j == i - 2, left).when(j == i - 1, right).otherwise(x))
+                return F.struct(pieces.alias("p"), ranks.alias("r"))
 
             return F.when(best < NO_RANK, let(F.array_position(r, best).cast("int"), at)).otherwise(F.struct(p.alias("p"), none.alias("r")))
 
         return F.when(F.size(r) > 0, let(F.array_min(r), joined)).otherwise(state)
 
-    n = F.size(word)
-    singles = F.transform(word, lambda b: F.get(table["start"], F.when(b < 0, b.cast("int") + 256).otherwise(b.cast("int"))))
-    start = let(singles, lambda p: F.struct(p.alias("p"), F.when(n > 1, F.transform(F.slice(p, F.lit(1), n - 1), lambda a, i: ranks.rank(a, F.get(p, i + 1), table))).otherwise(none).alias("r")))
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda state: state["p"])
+    pairs = F.transform(F.slice(word, F.lit(2), n), lambda b, i: F.get(two, F.get(word, i).cast("int") * 256 + b))
+    begin = F.struct(F.transform(word, lambda b: F.get(start, b)).alias("p"), pairs.alias("r"))
+    return F.aggregate(F.sequence(F.lit(1), n), begin, step, lambda state: state["p"])
 
 
 def encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -190,6 +202,41 @@ def _unplaned(buffer) -> np.ndarray:
     return out
 
 
+def by_count(often: np.ndarray) -> np.ndarray:
+    """Places of a block's words, in the order of packing, from the most frequent on: word number k is at the k-th of them."""
+    return np.argsort(-often, kind="stable")
+
+
+def numbered() -> defaultdict[str, int]:
+    """Each new key gets the next number."""
+    return defaultdict(itertools.count().__next__)
+
+
+def _packed_words(words: pa.Array) -> bytes:
+    """Sorted words, each without the start that it shares with the one before."""
+    raw, kept, shared, before = words.to_pylist(), [], [], b""
+    for w in raw:
+        n = len(commonprefix((before, w))) if w[:1] == before[:1] else 0
+        n = min(n, 255)
+        shared.append(n)
+        kept.append(w[n:])
+        before = w
+    lengths = np.fromiter(map(len, kept), np.uint32, len(kept))
+    t = pa.table({"shared": [bytes(shared)], "n": [_planes(lengths)], "rest": [b"".join(kept)]}, schema=pa.schema([(c, pa.large_binary()) for c in ("shared", "n", "rest")]))
+    return pack_table(t)
+
+
+def _unpacked_words(payload) -> list[bytes]:
+    t = unpack(payload)
+    shared, lengths, rest = t.column("shared")[0].as_py(), _unplaned(t.column("n")[0].as_buffer()).tolist(), t.column("rest")[0].as_py()
+    out, before, at = [], b"", 0
+    for s, n in zip(shared, lengths):
+        before = before[:s] + rest[at : at + n]
+        out.append(before)
+        at += n
+    return out
+
+
 def blocks_of(docs: DataFrame, pattern: str, n_parts: int) -> DataFrame:
     """block, words (distinct, by bucket), payload (doc_ids, numbers into words), dealt by block and checkpointed."""
 
@@ -197,24 +244,24 @@ def blocks_of(docs: DataFrame, pattern: str, n_parts: int) -> DataFrame:
         cutter, base, made = regex.compile(pattern), TaskContext.get().partitionId() * 1_000_003, 0
 
         def cut(text: str) -> np.ndarray:
-            if len(text) < LONG_TEXT:
-                return np.array([seen.setdefault(w, len(seen)) for w in cutter.findall(text)], np.int32)
-            return np.fromiter((seen.setdefault(m[0], len(seen)) for m in cutter.finditer(text)), np.int32)
+            words = cutter.findall(text) if len(text) < LONG_TEXT else (m[0] for m in cutter.finditer(text))
+            return np.fromiter(map(seen.__getitem__, words), np.int32)
 
         def close() -> pa.RecordBatch:
             flat = np.concatenate(numbers)
-            often = np.argsort(-np.bincount(flat, minlength=len(seen)), kind="stable")  # frequent words get small numbers
-            small = np.empty(len(seen), np.int32)
-            small[often] = np.arange(len(seen), dtype=np.int32)
             words = [w.encode() for w in seen]
             bucket = np.array([zlib.crc32(w) % BUCKETS for w in words], np.int32)
-            t = pa.table({"bucket": pa.array(bucket), "word": pa.array(words, pa.binary()), "number": pa.array(small)}).sort_by([("bucket", "ascending"), ("word", "ascending")])
+            t = pa.table({"bucket": pa.array(bucket), "word": pa.array(words, pa.binary())})
+            order = pc.sort_indices(t, [("bucket", "ascending"), ("word", "ascending")])
+            t, often = t.take(order), np.bincount(flat, minlength=len(seen))[order.to_numpy()]
+            small = np.empty(len(seen), np.int32)  # frequent words get small numbers
+            small[order.to_numpy()[by_count(often)]] = np.arange(len(seen), dtype=np.int32)
             cuts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=BUCKETS))])
-            packed = pa.table({"words": [pack_table(t.select(["word"]).slice(cuts[i], cuts[i + 1] - cuts[i])) if cuts[i] < cuts[i + 1] else None for i in range(BUCKETS)]}, schema=pa.schema([("words", pa.binary())]))
-            own = pa.table({"ids": [pack_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(x) for x in numbers], pa.int64())}))], "flat": [_planes(small[flat])], "order": [_planes(t.column("number").to_numpy())]}, schema=pa.schema([(c, pa.large_binary()) for c in ("ids", "flat", "order")]))
+            packed = pa.table({"words": [_packed_words(t.column("word").slice(cuts[i], cuts[i + 1] - cuts[i])) if cuts[i] < cuts[i + 1] else None for i in range(BUCKETS)]}, schema=pa.schema([("words", pa.binary())]))
+            own = pa.table({"ids": [pack_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "n": pa.array([len(x) for x in numbers], pa.int64())}))], "flat": [_planes(small[flat])], "often": [_planes(often)]}, schema=pa.schema([(c, pa.large_binary()) for c in ("ids", "flat", "often")]))
             return pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([pack_table(packed)], pa.binary()), pa.array([pack_table(own)], pa.binary())], ["block", "words", "payload"])
 
-        seen: dict[str, int] = {}
+        seen = numbered()
         ids, numbers, held = [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -224,7 +271,7 @@ def blocks_of(docs: DataFrame, pattern: str, n_parts: int) -> DataFrame:
                 held += len(text)
                 if held >= BLOCK_CHARS or len(seen) >= 1 << 21:
                     yield close()
-                    seen, ids, numbers, held, made = {}, [], [], 0, made + 1
+                    seen, ids, numbers, held, made = numbered(), [], [], 0, made + 1
         if ids:
             yield close()
 
@@ -244,9 +291,9 @@ def met_words(blocks: DataFrame, regions: int, unreached: frozenset[bytes]) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(own), pa.array(np.full(len(own), block)), parts.take(pa.array(own)).cast(pa.binary())], ["key", "bucket", "block", "packed"])
 
     def meet(t: pa.Table) -> pa.Table:
-        blocks_, parts = t.column("block").to_numpy(), [unpack(x.as_buffer()).column("word") for x in t.column("packed")]
+        blocks_, parts = t.column("block").to_numpy(), [pa.array(_unpacked_words(x.as_buffer()), pa.binary()) for x in t.column("packed")]
         sizes = [len(x) for x in parts]
-        every = pa.chunked_array([c for x in parts for c in x.chunks], pa.binary()).combine_chunks().dictionary_encode()
+        every = pa.concat_arrays(parts).dictionary_encode()
         order = pc.sort_indices(every.dictionary).to_numpy()
         words = every.dictionary.take(pa.array(order))
         rank = np.empty(len(order), np.int32)
@@ -256,7 +303,7 @@ def met_words(blocks: DataFrame, regions: int, unreached: frozenset[bytes]) -> D
         apart = np.diff(offsets) > LONG
         if unreached:
             apart |= pc.is_in(words, pa.array(sorted(unreached), pa.binary())).to_numpy(zero_copy_only=False)
-        raw = pa.Array.from_buffers(pa.int8(), int(offsets[-1]), [None, words.buffers()[2]])
+        raw = pa.array(np.frombuffer(words.buffers()[2], np.uint8, int(offsets[-1])).astype(np.int16))
         rows = []
         for a in range(0, len(words), CHUNK_WORDS):
             z = min(a + CHUNK_WORDS, len(words))
@@ -283,7 +330,7 @@ def met_words(blocks: DataFrame, regions: int, unreached: frozenset[bytes]) -> D
         return out
 
     sent = blocks.select("block", "words").mapInArrow(trimmed(deal), "key long, bucket int, block long, packed binary")
-    return sent.groupBy("key").applyInArrow(meet, "bucket int, refs binary, words array<array<tinyint>>, long string")
+    return sent.groupBy("key").applyInArrow(meet, "bucket int, refs binary, words array<array<smallint>>, long string")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -295,8 +342,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     held = input_bytes(docs)
     blocks = blocks_of(docs, pattern, max(8, -(-held // BUCKET_BYTES)))
     rank_map = RankMap(ranks)
-    folded = let(rank_map.literal(), lambda table: F.transform("words", lambda w: encoded(w, rank_map, table)))
-    coded = met_words(blocks, max(1, held // (REGION * BLOCK_CHARS)), rank_map.unreached).select("bucket", "refs", "long", folded.alias("ids"))
+    met = met_words(blocks, max(1, held // (REGION * BLOCK_CHARS)), rank_map.unreached)
+    coded = met.select("bucket", "refs", "long", rank_map.ids(F.col("words")).alias("ids"))
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,12 +370,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             for payload, packed in zip(batch.column(0), batch.column(1)):
                 own = unpack(payload.as_buffer())
                 docs_ = unpack(own.column("ids")[0].as_buffer())
-                numbers, order = _unplaned(own.column("flat")[0].as_buffer()), _unplaned(own.column("order")[0].as_buffer())
+                numbers, order = _unplaned(own.column("flat")[0].as_buffer()), by_count(_unplaned(own.column("often")[0].as_buffer()))
                 parts_ = [unpack(x["packed"].as_buffer()) for x in (packed.values if packed.is_valid else [])]
                 ids = np.concatenate([np.zeros(0, np.int32), *(_unplaned(p.column("ids")[0].as_buffer()) for p in parts_)]).astype("<u4")
                 n = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(p.column("n")[0].as_buffer(), np.uint32) for p in parts_)]).astype(np.int64)
-                lengths, starts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-                lengths[order], starts[order] = n, np.concatenate([[0], np.cumsum(n)])[:-1]
+                lengths, starts = n[order], np.concatenate([[0], np.cumsum(n)])[order]
                 doc_ids, ends = docs_.column("doc_id").combine_chunks(), np.cumsum(docs_.column("n").to_numpy())
                 # Some documents at a time, of about a million words, or one longer.
                 a, begin = 0, 0
