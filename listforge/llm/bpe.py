@@ -279,7 +279,7 @@ def blocks_of(docs: DataFrame, pattern: str, n_parts: int) -> DataFrame:
     return dealt(rows.mapInArrow(trimmed(run), "block long, words binary, payload binary"), n_parts, "block")
 
 
-def met_words(blocks: DataFrame, regions: int, unreached: frozenset[bytes]) -> DataFrame:
+def met_words(blocks: DataFrame, parts: int, regions: int, unreached: frozenset[bytes]) -> DataFrame:
     """words (distinct, some CHUNK_WORDS of them, as bytes), long (those that the fold leaves), refs: packed (block, places in words) of where they stand."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +330,8 @@ def met_words(blocks: DataFrame, regions: int, unreached: frozenset[bytes]) -> D
         return out
 
     sent = blocks.select("block", "words").mapInArrow(trimmed(deal), "key long, bucket int, block long, packed binary")
-    return sent.groupBy("key").applyInArrow(meet, "bucket int, refs binary, words array<array<smallint>>, long string")
+    # Packets are small next to the work in them: as many tasks as blocks have, which AQE does not draw together.
+    return sent.repartition(parts, "key").groupBy("key").applyInArrow(meet, "bucket int, refs binary, words array<array<smallint>>, long string")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -340,9 +341,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     conf, name = docs.sparkSession.conf, "spark.sql.maxPlanStringLength"
     conf.set(name, str(min(int(conf.get(name).rstrip("b")), 1 << 18)))
     held = input_bytes(docs)
-    blocks = blocks_of(docs, pattern, max(8, -(-held // BUCKET_BYTES)))
+    parts = max(8, -(-held // BUCKET_BYTES))
+    blocks = blocks_of(docs, pattern, parts)
     rank_map = RankMap(ranks)
-    met = met_words(blocks, max(1, held // (REGION * BLOCK_CHARS)), rank_map.unreached)
+    met = met_words(blocks, parts, max(1, held // (REGION * BLOCK_CHARS)), rank_map.unreached)
     coded = met.select("bucket", "refs", "long", rank_map.ids(F.col("words")).alias("ids"))
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
