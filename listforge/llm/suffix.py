@@ -4,10 +4,11 @@ The longest previous factor of a position is the longest string starting there
 that also starts at an earlier position. In suffix order it is the longer of
 the common prefixes with the nearest entries on either side that come from an
 earlier position (previous and next smaller values of position in suffix
-order). Here positions count as their documents, and only whether the factor
-reaches ``length`` matters: entries with common prefixes of that length form
-runs in suffix order, and a previous or next smaller document exists within
-the run exactly when the running minimum from that side is below one's own.
+order). Here positions count as their documents: the array says how long a
+string each position shares with an earlier document, and where it reaches
+``length`` the bytes go. Common prefixes are followed up to ``length`` bytes,
+smaller values as long as the prefix reaches it; what is shorter removes
+nothing.
 
 Suffix arrays are built bucket by bucket over the segments that hold a
 recurring anchor (see ``recurrence``), in pieces of bounded size that never
@@ -34,53 +35,64 @@ PIECE = 1 << 20
 
 
 def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes at starts by their first ``length`` bytes, and for each in that order whether it shares them with the one before."""
-    padded = np.concatenate([data, np.zeros(16, np.uint8)])
-    words = np.ndarray((len(data) + 8,), dtype=">u8", buffer=padded, strides=(1,))
-    keys = [words[starts + j].astype(np.uint64) for j in range(0, length, 8)]
-    if length % 8:
-        keys[-1] &= np.uint64((2**64 - 1) ^ ((1 << 8 * (8 - length % 8)) - 1))
-    order = np.lexsort(keys[::-1])
-    same = np.ones(len(order), bool)
-    same[:1] = False
-    for key in keys:
-        same[1:] &= key[order[1:]] == key[order[:-1]]
-    return order, same
-
-
-def first_owners(order: np.ndarray, same: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each suffix the smallest document in its run: the last of its previous and next smaller values, or its own."""
-    heads = np.flatnonzero(~same)
-    out = np.empty(len(order), np.int64)
-    out[order] = np.repeat(np.minimum.reduceat(docs[order], heads), np.diff(np.append(heads, len(order))))
-    return out
-
-
-def longest_previous_factors(text: bytes) -> list[int]:
-    """LPF array of one text, by suffix array, LCP array and smaller values."""
-    n = len(text)
-    sa = sorted(range(n), key=lambda i: text[i:])
-    rank, lcp, h = [0] * n, [0] * (n + 1), 0
-    for r, i in enumerate(sa):
-        rank[i] = r
-    for i in range(n):
-        if rank[i]:
-            j = sa[rank[i] - 1]
-            while i + h < n and j + h < n and text[i + h] == text[j + h]:
-                h += 1
-            lcp[rank[i]] = h
-            h = max(h - 1, 0)
-        else:
-            h = 0
-    lpf, stack = [0] * n, []
-    for r in range(n + 1):
-        at, common = (sa[r], lcp[r]) if r < n else (-1, 0)
-        while stack and at < stack[-1][0]:  # at is the next smaller value of what is popped
-            popped, left = stack.pop()
-            lpf[popped] = max(left, common)
-            common = min(left, common)
-        stack.append((at, common))
-    return lpf
+    """Order of the suffixes at starts by their first ``length`` bytes, and the bytes that each shares with the one before, ``length`` at most.
+
+    Eight bytes are compared at a time; only suffixes that are still tied go on.
+    """
+    padded = np.concatenate([data, np.zeros(length + 16, np.uint8)])
+    words = np.ndarray((len(padded) - 8,), dtype=">u8", buffer=padded, strides=(1,))
+    order, common = np.arange(len(starts)), np.full(len(starts), length, np.int32)
+    common[:1] = 0
+    tied, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    for j in range(0, length, 8):
+        key = words[starts[order[tied]] + j].astype(np.uint64)
+        if length - j < 8:
+            key &= np.uint64((2**64 - 1) ^ ((1 << 8 * (8 - length + j)) - 1))
+        turn = np.lexsort((key, group)) if j else np.argsort(key, kind="stable")
+        order[tied], key = order[tied[turn]], key[turn]
+        differ = key[1:] ^ key[:-1]
+        inside = group[1:] == group[:-1]  # of one group: turn leaves groups where they are
+        parts = np.flatnonzero(inside & (differ != 0)) + 1
+        common[tied[parts]] = j + 8 - np.searchsorted(_BYTES, differ[parts - 1], side="right")
+        heads = np.ones(len(tied) + 1, bool)
+        heads[1:-1] = ~inside | (differ != 0)
+        group, still = np.cumsum(heads[:-1]), ~(heads[:-1] & heads[1:])
+        tied, group = tied[still], group[still]
+        if not len(tied):
+            break
+    return order, common
+
+
+_BYTES = np.array([1 << 8 * i for i in range(8)], np.uint64)
+
+
+def smaller(values: np.ndarray, common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each entry's previous smaller value and what it has in common with that, 0 where there is none.
+
+    Every entry looks at the one before and, while that is not smaller, jumps
+    to where that one points. Entries that have fallen below ``least`` stop.
+    """
+    at, shared = np.arange(len(values)) - 1, common.copy()
+    going = np.flatnonzero((at >= 0) & (shared >= least))
+    while len(going):
+        going = going[values[at[going]] >= values[going]]
+        over = at[going]
+        shared[going] = np.minimum(shared[going], shared[over])
+        at[going] = at[over]
+        going = going[(at[going] >= 0) & (shared[going] >= least)]
+    found = (at >= 0) & (values[at] < values)
+    return at, np.where(found, shared, 0)
+
+
+def previous_factors(values: np.ndarray, common: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For entries in suffix order: length of the longest factor that an entry of smaller value has too (exact from ``least`` on), and that value, or the own one."""
+    before, left = smaller(values, common, least)
+    after, right = smaller(values[::-1], np.append(common[1:], 0)[::-1].astype(common.dtype), least)
+    after, right = len(values) - 1 - after[::-1], right[::-1]
+    factor = np.maximum(left, right)
+    after[after >= len(values)] = 0
+    owner = np.where(factor == 0, values, np.where(left >= right, values[before], values[after]))
+    return factor, owner
 
 
 def resolve(texts: list[bytes], ids: np.ndarray, anchors: np.ndarray, length: int) -> list[np.ndarray]:
@@ -108,8 +120,11 @@ def _piece(texts: list[bytes], ids: np.ndarray, rows: np.ndarray, length: int, o
     sizes = np.array([len(x) for x in number], np.int64)
     windows = sizes - length + 1
     starts, begins = ragged(np.concatenate([[0], np.cumsum(sizes)[:-1]]), windows)
-    order, same = suffix_order(np.frombuffer(b"".join(number), np.uint8), starts, length)
-    first = first_owners(order, same, np.repeat(least, windows))
+    order, common = suffix_order(np.frombuffer(b"".join(number), np.uint8), starts, length)
+    docs = np.repeat(least, windows)
+    factor, owner = previous_factors(docs[order], common, length)
+    first = docs.copy()
+    first[order[factor >= length]] = owner[factor >= length]
     for i, w in zip(rows, which):
         out[i] = first[begins[w] : begins[w] + windows[w]]
 

@@ -70,9 +70,18 @@ def test_suffix(docs):
 
 
 def test_lpf():
-    for t in (b"banana", b"aaaa", b"abcabcx", b""):
+    rng = np.random.default_rng(3)
+    for t in (b"banana", b"aaaa", b"abcabcx", b"", bytes(rng.integers(97, 99, 300, dtype=np.uint8)), b"a" * 70 + b"b" + b"a" * 90):
         want = [max((k for j in range(i) for k in range(len(t) - i + 1) if t[j : j + k] == t[i : i + k]), default=0) for i in range(len(t))]
-        assert suffix.longest_previous_factors(t) == want
+        order, common = suffix.suffix_order(np.frombuffer(t, np.uint8), np.arange(len(t)), len(t))
+        assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+        factor, owner = suffix.previous_factors(order, common)
+        assert [int(x) for _, x in sorted(zip(order, factor))] == want
+        for i, n, j in zip(order, factor, owner):
+            assert (j < i and t[j : j + n] == t[i : i + n]) if n else j == i
+        # From 4 bytes on the factors are exact, also where shorter ones are not followed.
+        exact, _ = suffix.previous_factors(order, common, 4)
+        assert [int(x) for x in factor[factor >= 4]] == [int(x) for x in exact[factor >= 4]] and (exact[factor < 4] < 4).all()
 
 
 def test_minhash(docs):
