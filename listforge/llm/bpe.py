@@ -56,7 +56,7 @@ CHUNK_WORDS = 1024
 LONG_TEXT = 1 << 20
 #: A token number is below 2^20; a pair of them and its rank share a long.
 BITS = 20
-NO_RANK = 1 << 30
+NO_RANK = 1 << BITS
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -76,7 +76,8 @@ class RankMap:
         if max(ranks.values(), default=0) >> BITS:
             raise ValueError(f"a rank above {1 << BITS}")
         pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.groups, self.slots = max(1, len(pairs) // 3) | 1, 2 * len(pairs) | 1
+        # Nearly full: the literal is in every plan and its descriptions.
+        self.groups, self.slots = max(1, len(pairs) // 3) | 1, max(len(pairs) + 1, len(pairs) * 21 // 20) | 1
         while not self._place(pairs):
             self.groups, self.slots = self.groups + 2, self.slots + 2
         self.start = [ranks.get(bytes([b]), -1) for b in range(256)]
@@ -346,6 +347,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     rank_map = RankMap(ranks)
     met = met_words(blocks, parts, max(1, held // (REGION * BLOCK_CHARS)), rank_map.unreached)
     coded = met.select("bucket", "refs", "long", rank_map.ids(F.col("words")).alias("ids"))
+    del rank_map
+    give_back()  # the driver's memory too
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -45,7 +45,7 @@ MINIMA, BANDS, BITS = 128, 32, 4
 #: How far below the threshold an estimate may be: over four standard deviations at 0.8.
 SLACK = 0.16
 #: Members of its largest group that a split bucket's other rows meet first.
-RELAYS = 16
+RELAYS = 8
 
 #: Most partitions of the tables between rounds: as many as the input has blocks of work.
 _parts: ContextVar[int] = ContextVar("parts")
@@ -229,8 +229,7 @@ def links_outside(inside: DataFrame, blocks: DataFrame, size: int, percent: int)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node that can be reached. edges: u, v."""
-    edges = durable(edges)
+    """node, label: the smallest node that can be reached. edges: u, v; checkpointed."""
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).union(edges.select("v", "u"))
     label = durable(nodes.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("label")))
     while True:
@@ -248,7 +247,10 @@ def components(edges: DataFrame) -> DataFrame:
 def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     """groups (row, label) after links (a, b) between rows."""
     side = lambda c, to: groups.select(F.col("row").alias(c), F.col("label").alias(to))
-    roots = components(links.join(side("a", "u"), "a").join(side("b", "v"), "b").filter("u <> v").select("u", "v").distinct())
+    edges = durable(links.join(side("a", "u"), "a").join(side("b", "v"), "b").filter("u <> v").select("u", "v").distinct())
+    if edges.isEmpty():
+        return groups
+    roots = components(edges)
     return durable(groups.join(roots.withColumnRenamed("label", "root"), groups["label"] == roots["node"], "left").select("row", F.coalesce("root", "label").alias("label")))
 
 

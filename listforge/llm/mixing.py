@@ -10,8 +10,10 @@ part, plus one for the documents whose hashed uniform lies below a per-source
 cut, set so that the words taken come nearest to the target.
 
 No Python runs on executors. A hot source is only ever summed (map-side
-combined) or dealt by hash: cuts are found from 4096 bins a source, and only
-the one bin that a cut falls into is sorted.
+combined), and each row meets its source's few numbers by broadcast (up to
+``FEW`` sources, checked) or over salts, so no task gets a whole source. Cuts
+are found from 4096 bins a source, and only the one bin that a cut falls into
+is sorted. Targets take one row for each source through a window.
 
 Edge cases: a null text has size 0 and is taken with nothing; sources sort by
 code point with the null source last; a source of no words has target 0;
@@ -31,6 +33,8 @@ MOST = 3
 BINS = 4096
 ITERATIONS = 60
 TOLERANCE = 1e-8
+#: Sources up to which a row for each is broadcast (some MB); with more, joins are salted.
+FEW, SALTS = 1 << 15, 64
 
 
 def source_key() -> Column:
@@ -43,6 +47,15 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", source_key().alias("key"), word_count(F.col("text")).alias("size"))
 
 
+def attach(rows: DataFrame, small: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """rows with the columns that small has for their key: by broadcast where sources are few, else by a join over salts, so that a hot source's rows stay in many tasks."""
+    if few:
+        return rows.join(F.broadcast(small), "key", how)
+    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = rows.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    return own.join(salted, ["key", "salt"], how).drop("salt")
+
+
 def targets(histogram: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """key, source_size, target and moments: shares of all words by weight, none above 3 times the source.
 
@@ -67,7 +80,7 @@ def targets(histogram: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataF
     return found.select("key", "source_size", "docs", "squares", "least", target.alias("target"))
 
 
-def solve(histogram: DataFrame, goals: DataFrame) -> DataFrame:
+def solve(histogram: DataFrame, goals: DataFrame, few: bool) -> DataFrame:
     """key, source_size, docs, target, scale, lam: Newton on each source's dual, kept within a shrinking bracket."""
     # A source without words has no scale and no dual: try_divide leaves them null.
     ratio = F.try_divide("target", "source_size")
@@ -84,15 +97,17 @@ def solve(histogram: DataFrame, goals: DataFrame) -> DataFrame:
         tilt = F.exp(F.col("lam") * x)
         words = F.col("size") * F.col("hist_docs")
         open_ = state.filter(~F.col("done")).select("key", "lam", "scale")
-        sums = histogram.withColumnRenamed("docs", "hist_docs").join(open_, "key").groupBy("key").agg(F.sum(words * F.least(F.lit(float(MOST)), tilt)).alias("f"), F.sum(F.when(tilt < MOST, words * tilt * x).otherwise(0.0)).alias("slope"))
+        sums = attach(histogram.withColumnRenamed("docs", "hist_docs"), open_, few).groupBy("key").agg(F.sum(words * F.least(F.lit(float(MOST)), tilt)).alias("f"), F.sum(F.when(tilt < MOST, words * tilt * x).otherwise(0.0)).alias("slope"))
         step = F.col("lam") - F.try_divide(F.col("f") - F.col("target"), F.col("slope"))
         lo, hi = F.when(F.col("f") < F.col("target"), F.col("lam")).otherwise(F.col("lo")), F.when(F.col("f") < F.col("target"), F.col("hi")).otherwise(F.col("lam"))
-        joined = state.join(sums, "key", "left").withColumn("lo2", F.when(F.col("done"), F.col("lo")).otherwise(lo)).withColumn("hi2", F.when(F.col("done"), F.col("hi")).otherwise(hi))
+        joined = (state.join(F.broadcast(sums), "key", "left") if few else state.join(sums, "key", "left")).withColumn("lo2", F.when(F.col("done"), F.col("lo")).otherwise(lo)).withColumn("hi2", F.when(F.col("done"), F.col("hi")).otherwise(hi))
         gap = F.try_divide(F.abs(F.col("f") - F.col("target")), F.col("target"))
         inside = (F.col("slope") > 0) & (step > F.col("lo2")) & (step < F.col("hi2"))
         stop = gap < TOLERANCE
         lam = F.when(F.col("done") | stop, F.col("lam")).when(inside, step).otherwise((F.col("lo2") + F.col("hi2")) / 2)
         state = durable(joined.select(*keep, F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), lam.alias("lam"), F.coalesce(gap, F.col("gap")).alias("gap"), (F.col("done") | stop | (F.col("hi2") - F.col("lo2") < 1e-14)).alias("done")))
+    if not state.filter(~F.col("done")).isEmpty():
+        raise ArithmeticError(f"a source has not met its target in {ITERATIONS} steps")
     # Sums of doubles depend on their order in the last bits; rounding makes reruns agree.
     return state.select("key", "source_size", "docs", "target", "scale", "full", F.round("lam", 9).alias("lam"))
 
@@ -101,9 +116,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken of every row of docs."""
     rows = durable(sized(docs))
     histogram = durable(rows.groupBy("key", "size").agg(F.count("*").alias("docs")))
-    solved = durable(solve(histogram, targets(histogram, weights)))
+    goals = durable(targets(histogram, weights))
+    few = goals.count() <= FEW
+    solved = durable(solve(histogram, goals, few))
     rate = F.when(F.col("full"), F.lit(float(MOST))).when((F.col("target") <= 0) | F.col("lam").isNull(), F.lit(0.0)).otherwise(F.least(F.lit(float(MOST)), F.exp(F.col("lam") * F.try_divide("size", "scale"))))
-    rated = rows.join(solved, "key").withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("long"))
+    rated = attach(rows, solved, few).withColumn("rate", rate).withColumn("whole", F.floor("rate").cast("long"))
     uniform = F.pmod(F.xxhash64(F.col("doc_id"), F.col("size"), F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rated = rated.withColumn("v", uniform - (F.col("rate") - F.col("whole"))).withColumn("spare", (F.col("whole") < MOST) & (F.col("size") > 0))
     # Documents above the mean size are decided by their hash, the smaller ones then make up what is missing.
@@ -119,7 +136,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     # The last bin that fits whole; what is then missing is taken from the next one.
     cuts = cuts.groupBy("key").agg(F.max(F.when(F.col("upto") <= miss, F.col("bin"))).alias("last_bin"), F.min(F.when(F.col("upto") > miss, F.col("bin"))).alias("cut_bin"), F.min(miss).alias("miss"), F.max(F.when(F.col("upto") <= miss, F.col("upto"))).alias("fitted"))
     cuts = durable(cuts.select("key", F.coalesce("last_bin", F.lit(-2)).alias("last_bin"), "cut_bin", (F.col("miss") - F.coalesce("fitted", F.lit(0))).alias("left_over")))
-    placed = rated.join(cuts, "key")
+    placed = attach(rated, cuts, few)
     edge = placed.filter(F.col("bin") == F.col("cut_bin"))
     order = Window.partitionBy("key").orderBy("v", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("more", (F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 <= F.col("left_over")).cast("long"))
