@@ -60,12 +60,11 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def matrix(lists: pa.Array, dim: int) -> np.ndarray:
-    """Rows of doubles, of length dim, scaled by powers of two so that squares neither vanish nor overflow."""
+    """Rows of doubles, of length dim, over their largest component: squares neither vanish nor overflow, and multiples of a vector become equal."""
     out, n = np.zeros((len(lists), dim)), np.diff(lists.offsets.to_numpy())
     rows, (cols, _) = np.repeat(np.arange(len(lists)), n), ragged(np.zeros(len(lists), np.int64), n)
     out[rows, cols] = lists.flatten().to_numpy(zero_copy_only=False)
-    most = np.abs(out).max(axis=1, initial=0, keepdims=True)
-    return np.ldexp(out, -np.frexp(most)[1])
+    return out / np.abs(out).max(axis=1, initial=0, keepdims=True)
 
 
 def halves(buffers, dim: int) -> np.ndarray:
@@ -346,7 +345,7 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 5) -> DataFrame:
         for batch in batches:
             a, b = matrix(batch.column(2), dim), matrix(batch.column(3), dim)
             s = (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["q", "ids", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.clip(s, -1, 1))], ["q", "ids", "s"])
 
     scored = rows.select("q", "ids", "a", "b").mapInArrow(trimmed(score), "q long, ids array<long>, s double")
     # An id with several vectors counts by its nearest.
