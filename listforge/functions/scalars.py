@@ -18,7 +18,7 @@ from listforge.plans import rules
 
 def first(c: Column, pattern: str, group: int = 1, flags: str = "") -> Column:
     """Group of the first match, null if there is none or it is empty."""
-    return F.nullif(F.regexp_extract(c, flags + pattern, group), F.lit(""))
+    return let(F.regexp_extract(c, flags + pattern, group), lambda m: F.nullif(m, F.lit("")))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -106,9 +106,12 @@ def clean_ends(c: Column) -> Column:
 
 def parse_number(c: Column) -> Column:
     """First decimal: with both separators dots group, a lone comma is decimal; null if that is no number."""
-    m = F.regexp_extract(c, r"(-?[0-9][0-9.,]*)", 1)  # no match is empty, which casts to null
-    dotted = F.when(m.contains(",") & m.contains("."), F.replace(F.replace(m, F.lit(".")), F.lit(","), F.lit("."))).otherwise(F.replace(m, F.lit(","), F.lit(".")))
-    return dotted.try_cast("double")
+
+    def read(m: Column) -> Column:
+        grouped = F.replace(F.replace(m, F.lit(".")), F.lit(","), F.lit("."))
+        return F.when(m.contains(",") & m.contains("."), grouped).otherwise(F.replace(m, F.lit(","), F.lit("."))).try_cast("double")
+
+    return let(F.regexp_extract(c, r"(-?[0-9][0-9.,]*)", 1), read)  # no match is empty, which casts to null
 
 
 def parse_int(c: Column) -> Column:

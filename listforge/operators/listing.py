@@ -45,7 +45,7 @@ def counts_and_areas(df: DataFrame) -> DataFrame:
     text = F.col("text")
     found = {c: S.parse_int(S.first_of(text, p)) for c, p in rules.COUNTS.items()} | {c: area(text, labels) for c, labels in rules.AREAS.items()}
     any_area = S.parse_int(S.first(text, _AREA, 1, "(?iu)"))
-    found["covered_area_sqm"] = F.when(F.coalesce(found["covered_area_sqm"], F.lit(0)) != 0, found["covered_area_sqm"]).otherwise(F.coalesce(any_area, found["covered_area_sqm"]))
+    found["covered_area_sqm"] = S.let(found["covered_area_sqm"], lambda own: F.when(own != 0, own).otherwise(F.coalesce(any_area, own)))
     return df.withColumns(found)
 
 
@@ -96,13 +96,17 @@ def room_bucket(total_rooms: Column, bedrooms: Column, studio: Column) -> Column
     return F.when((total_rooms == 1) | studio, "01_studio").when(bedrooms.isNull(), "").when(bedrooms <= 1, "02_one_bedroom").when(bedrooms == 2, "03_two_bedroom").when(bedrooms == 3, "04_three_bedroom").otherwise("05_four_plus_bedroom")
 
 
+def location_key(*parts: Column) -> Column:
+    """From the widest part to the narrowest, blank ones left out."""
+    return F.concat_ws(" | ", *[F.nullif(x, F.lit("")) for x in parts])
+
+
 def derived(df: DataFrame) -> DataFrame:
     """Areas, ratios, text sizes, buckets and the location key."""
     c = F.col
     some = lambda x: F.nullif(c(x), F.lit(0).cast("bigint"))
     df = df.withColumn("effective_area_sqm", F.coalesce(some("covered_area_sqm"), some("total_area_sqm"))).withColumn("_rooms", F.coalesce(some("total_rooms"), c("bedrooms") + 1))
     studio = F.coalesce((c("property_subtype") == "Studio") | (c("total_rooms") == 1), F.lit(False))
-    parts = [F.nullif(F.coalesce(c(x), F.lit("")), F.lit("")) for x in ("country", "province", "city", "neighborhood")]
     return df.withColumns(
         {
             "area_per_room_sqm": S.ratio(c("effective_area_sqm"), c("_rooms")),
@@ -117,17 +121,29 @@ def derived(df: DataFrame) -> DataFrame:
             "age_bucket": S.bucket(c("age_years"), rules.AGE_BUCKETS),
             "floor_bucket": S.bucket(c("floor_number"), rules.FLOOR_BUCKETS),
             "room_bucket": room_bucket(c("total_rooms"), c("bedrooms"), studio),
-            "location_key": F.concat_ws(" | ", *parts),
+            "location_key": location_key(*map(c, ("country", "province", "city", "neighborhood"))),
         }
     ).drop("_rooms")
 
 
+def matches_mode(rows: DataFrame, apartments_only: bool) -> DataFrame:
+    """The wide rows that the property mode asks for: all, or apartments by type or URL."""
+    return rows.filter((F.lower("property_type") == "apartment") | S.apartment_url(F.col("source_url"))) if apartments_only else rows
+
+
+def stamped(pages: DataFrame) -> DataFrame:
+    """pages with scraped_at: this run's time in UTC, to the second."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return pages.withColumn("scraped_at", F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """The wide rows of all pages with a usable price: base columns, then 97 flags."""
     c = F.col
     rows = pages.withColumn("_price", price(c("text"), c("json_price"), c("json_currency"), c("country"))).filter("_price is not null and (_price.usd = 0 or _price.usd >= %d)" % rules.MIN_SALE_USD_PAGES)
     about = F.concat_ws(" ", "title", "description")
     rows = rows.withColumns({"price_original": c("_price.original"), "price_currency": c("_price.currency"), "price_usd": c("_price.usd"), "property_type": property_type(c("url"), c("title"), c("text")), "property_subtype": S.case_of(about, rules.SUBTYPES), "construction_stage": S.case_of(about, rules.STAGES), "publication_type": S.case_of(about, rules.PUBLICATIONS), "orientation": orientation(c("text")), "distance_to_sea_blocks": distance_to_sea(c("text"))})
+    rows = rows.withColumn("description", F.substring(S.clean_text(c("description")), 1, rules.DESCRIPTION_CHARS))
     rows = rows.withColumn("_expenses", expenses(c("text"), c("country"), c("price_original"), c("price_usd"))).withColumns({f"expenses_{x}": c(f"_expenses.{x}") for x in ("original", "currency", "usd")})
     rows = locate(counts_and_areas(rows)).withColumn("_near_sea", c("distance_to_sea_blocks").isNotNull())
     rows = rows.withColumns({"latitude": S.parse_number(c("json_latitude")), "longitude": S.parse_number(c("json_longitude"))})

@@ -14,7 +14,9 @@ from listforge.operators import tables
 from listforge.plans import rules
 
 ORDER = ("source_rank", "file", "pos")
-_YES = ("si", "sí")
+_YES = ("si", "sí", "yes")
+#: The leftmost of these is the floor.
+_FLOOR = r"(?iu)piso\s+([0-9]+|PB)|([0-9]+)to\s+piso|([0-9]+)°\s*piso"
 
 
 def pairs(c: Column, pattern: str) -> Column:
@@ -105,7 +107,7 @@ def parse_b(items: DataFrame, source: str = "infocasas") -> DataFrame:
     baths = F.coalesce(number(r"([0-9]+)\s*Ba[ñn]os?"), S.parse_thousands(first_pair(p, lambda k: k.isin("baños", "banos"))))
     bedrooms = F.coalesce(number(r"([0-9]+)\s*Dorms?\."), S.parse_thousands(F.when(~dorms.contains("Mono"), dorms)))
     mono = dorms.contains("Mono") | md.rlike(r"(^|[^\p{L}\p{N}_])Mono($|[^\p{L}\p{N}_])")
-    floor = F.coalesce(S.first(md, r"(?:piso\s+([0-9]+|PB))", 1, "(?iu)"), S.first(md, r"([0-9]+)to\s+piso", 1, "(?iu)"), S.first(md, r"([0-9]+)°\s*piso", 1, "(?iu)"))
+    floor = F.coalesce(*[S.first(md, _FLOOR, group) for group in (1, 2, 3)])
     garage = md.rlike(r"\b[Gg]ara(je|ge)\b|\b[Cc]ochera\b")
     spots = F.coalesce(F.when(garage, number(r"([0-9]+)\s*[Gg]araje")), S.parse_thousands(same("garajes")))
     yes = lambda w: F.lower(has(w)).isin(*_YES)

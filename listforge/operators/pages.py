@@ -83,36 +83,63 @@ class _Page(HTMLParser):
             self.title = " ".join(data.split())
 
 
-def walk(value: Any) -> Iterator[Any]:
-    """The value and all below it, parents first, keys in source order."""
-    yield value
-    for below in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
-        yield from walk(below)
+def json_pairs(blocks: list[Any]) -> list[tuple[str, Any]]:
+    """(key, value) of every mapping in the blocks: outer mappings first, in document order. Depth is no matter."""
+    found: list[tuple[str, Any]] = []
+    waiting = [blocks]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict):
+            found.extend((str(k), v) for k, v in node.items())
+        waiting.extend(reversed(list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else []))
+    return found
 
 
-def scalar(blocks: list[Any], *keys: str) -> str:
-    """First non-blank scalar, in document order, under any of the keys."""
-    wanted = {k.lower() for k in keys}
-    for node in walk(blocks):
-        if isinstance(node, dict):
-            for k, v in node.items():
-                if str(k).lower() in wanted and isinstance(v, (str, int, float)) and str(v).strip():
-                    return " ".join(str(v).split())
-    return ""
+def json_values(pairs: list[tuple[str, Any]], *keys: str) -> list[Any]:
+    """All values under any of the keys, whatever their case."""
+    wanted = frozenset(map(str.lower, keys))
+    return [v for k, v in pairs if k.lower() in wanted]
 
 
-def _place(blocks: list[Any]) -> dict[str, str | None]:
-    """The first address sets all its fields, blank or not; the first geo likewise."""
-    out: dict[str, str | None] = {}
-    for node in walk(blocks):
-        if isinstance(node, dict):
-            address, geo = node.get("address"), node.get("geo")
-            if isinstance(address, dict):
-                for name, key in (("street", "streetAddress"), ("city", "addressLocality"), ("province", "addressRegion"), ("neighborhood", "addressSuburb")):
-                    out.setdefault(name, " ".join(str(address.get(key) if address.get(key) is not None else "").split()))
-            if isinstance(geo, dict):
-                for name in ("latitude", "longitude"):
-                    out.setdefault(name, None if geo.get(name) is None else str(geo[name]))
+def json_scalar(pairs: list[tuple[str, Any]], *keys: str) -> str:
+    """The first of these values that is a text or number and not blank."""
+    plain = (" ".join(str(v).split()) for v in json_values(pairs, *keys) if isinstance(v, (str, int, float)))
+    return next(filter(None, plain), "")
+
+
+def _parsed(text: str) -> Any:
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+
+
+def json_first(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    """df with ``found``: the first scalar under any of the keys in its JSON column, empty if there is none."""
+    at, names = df.columns.index(column), [*df.columns, "found"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [json_scalar(json_pairs([_parsed(x or "")]), *keys) for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names)
+
+    return df.mapInArrow(run, f"{_fields(df)}, found string")
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+#: Facts of a place, by the mapping that holds them.
+PLACES = {"address": {"street": "streetAddress", "city": "addressLocality", "province": "addressRegion", "neighborhood": "addressSuburb"}, "geo": {"latitude": "latitude", "longitude": "longitude"}}
+
+
+def _place(pairs: list[tuple[str, Any]]) -> dict[str, str]:
+    """Facts of the first address and of the first geo, blank or not."""
+    out: dict[str, str] = {}
+    for holder, facts in PLACES.items():
+        held = next((v for k, v in pairs if k == holder and isinstance(v, dict)), {})
+        out |= {name: " ".join(str(held[key]).split()) for name, key in facts.items() if held.get(key) is not None}
     return out
 
 
@@ -126,15 +153,11 @@ def facts_of(html: str | None) -> dict[str, Any] | None:
     page = _Page()
     page.feed(html)
     page.close()
-    blocks = []
-    for text in page.blocks:
-        try:
-            blocks.append(json.loads(text))
-        except ValueError:
-            continue
-    place = _place(blocks)
+    pairs = json_pairs([x for x in map(_parsed, page.blocks) if x is not None])
     out = {"text": " ".join(" ".join(page.words).split()), "title": page.title, "meta": list(page.meta.items()), "links": page.links}
-    found = {"price": scalar(blocks, "price", "lowPrice", "highPrice"), "currency": scalar(blocks, "priceCurrency", "currency"), "name": scalar(blocks, "name", "headline"), "about": scalar(blocks, "description"), **place}
+    found = _place(pairs)
+    for name, keys in {"price": ("price", "lowPrice", "highPrice"), "currency": ("priceCurrency", "currency"), "name": ("name", "headline"), "about": ("description",)}.items():
+        found[name] = json_scalar(pairs, *keys)
     return out | {f"json_{c}": found.get(c) or None for c in FACTS}
 
 
@@ -149,8 +172,7 @@ def parse_html(pages: DataFrame) -> DataFrame:
             found = pa.array([facts_of(x) for x in batch.column(at).to_pylist()], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    return pages.mapInArrow(run, f"{fields}, page {PARSED}")
+    return pages.mapInArrow(run, f"{_fields(pages)}, page {PARSED}")
 
 
 def meta(*keys: str) -> Column:
@@ -159,11 +181,24 @@ def meta(*keys: str) -> Column:
     return F.coalesce(*tries)
 
 
-def clean_link(raw: str | None, current: str) -> str:
-    value = html_lib.unescape(raw or "").replace("\\/", "/").strip().strip("\"'()[]{}<>.,;")
-    if not value.startswith(("http://", "https://", "/", "./", "../")) or any(c.isspace() for c in value):
-        return ""
-    return urljoin(current, value)
+def described(pages: DataFrame) -> DataFrame:
+    """Parsed pages with text, title and description, each from the first place that has one, and the json_* facts."""
+    named = {"text": F.coalesce("page.text", F.lit("")), "title": F.coalesce(meta("og:title", "twitter:title"), F.nullif("page.title", F.lit("")), F.col("page.json_name"), F.lit(""))}
+    named["description"] = F.coalesce(meta("og:description", "description", "twitter:description"), F.col("page.json_about"), F.lit(""))
+    return pages.withColumns(named | {f"json_{c}": F.col(f"page.json_{c}") for c in FACTS})
+
+
+def tidy_links(links: Column) -> Column:
+    """Absolute, root-relative and dot-relative links of an array, without what often clings to them."""
+
+    def tidy(x: Column) -> Column:
+        for name, char in ENTITIES:
+            x = F.replace(x, F.lit(name), F.lit(char))
+        x = F.regexp_replace(F.replace(x, F.lit("\\/"), F.lit("/")), r"(?U)^\s+|\s+$", "")
+        return F.btrim(x, F.lit("\"'()[]{}<>.,;"))
+
+    # Trimming takes leading dots too: './x' and '../x' come out as '/x'.
+    return F.array_distinct(F.filter(F.transform(links, tidy), lambda x: x.rlike(r"^(https?://|/)") & ~x.rlike(r"(?U)\s")))
 
 
 def discovered(pages: DataFrame) -> DataFrame:
@@ -171,12 +206,13 @@ def discovered(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links = [sorted({x for v in vs or () if (x := clean_link(v, url))}) for url, vs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(links, pa.list_(pa.string()))], ["url", "links"])
+            absolute = [[urljoin(base, html_lib.unescape(x)) for x in links or ()] for base, links in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(absolute, pa.list_(pa.string()))], ["url", "links"])
 
     plain = F.replace(F.replace(F.col("html"), F.lit("\\/"), F.lit("/")), F.lit("&amp;"), F.lit("&"))
     raw = F.concat(F.regexp_extract_all(plain, F.lit(r"(https?://[^\"'<>\s)]+)"), 1), F.regexp_extract_all(plain, F.lit(r"""(?i)["'](/[^"'<>]*?(?:venta|inmuebles)[^"'<>]*?)["']"""), 1))
-    found = pages.select("url", F.concat("page.links", F.coalesce(raw, F.array())).alias("links")).filter("url is not null").mapInArrow(run, "url string, links array<string>")
+    links = tidy_links(F.concat("page.links", F.coalesce(raw, F.array())))
+    found = pages.filter("url is not null").select("url", links.alias("links")).mapInArrow(run, "url string, links array<string>")
     out = found.select("url", F.explode("links").alias("link")).select("url", S.normalize_url(F.col("link")).alias("link"))
     return out.filter((F.col("link") != "") & S.same_domain(F.col("link"), F.col("url"))).distinct()
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from listforge.functions import scalars as S
 from listforge.plans import rules
@@ -34,8 +35,11 @@ def dedupe_ml(rows: DataFrame, order: Sequence[str] = ("source_rank", "file", "p
 
 
 def support(rows: DataFrame, least: int = 2) -> DataFrame:
-    """column, n: flags that at least so many rows have; flags is a map column."""
-    pairs = rows.select(F.explode("flags").alias("column", "value")).filter("value <> 0")
+    """column, n: flags that at least so many rows have; flags is a map column, or an array of the names of those set."""
+    if isinstance(rows.schema["flags"].dataType, MapType):
+        pairs = rows.select(F.explode("flags").alias("column", "value")).filter("value <> 0")
+    else:
+        pairs = rows.select(F.explode("flags").alias("column"))
     named = pairs.filter(F.col("column").rlike("^(" + "|".join(rules.FLAG_PREFIXES) + ")"))
     return named.groupBy("column").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 

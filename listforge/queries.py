@@ -231,33 +231,32 @@ def flag_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AREA, _AGE, _FLOOR, _BED = "cast(l_quantity * 60 as bigint)", "cast(l_suppkey * 3 as bigint)", "cast(l_linenumber * 2 - 2 as bigint)", "cast(l_partkey % 14 as bigint)"
 
 
-@query(f"with b as (select l_orderkey, l_linenumber, case when {_AREA} between 0 and 2000 then {_AREA} end as area, case when {_AGE} between 0 and 250 then {_AGE} end as age, {_FLOOR} as floor_no, case when {_BED} between 0 and 10 then {_BED} end as beds from lineitem) select l_orderkey, l_linenumber, area, age, beds, {bucket_sql('area', rules.AREA_BUCKETS)} as area_bucket, {bucket_sql('age', rules.AGE_BUCKETS)} as age_bucket, {bucket_sql('floor_no', rules.FLOOR_BUCKETS)} as floor_bucket, case when beds is null then '' when beds <= 1 then '02_one_bedroom' when beds = 2 then '03_two_bedroom' when beds = 3 then '04_three_bedroom' else '05_four_plus_bedroom' end as room_bucket, cast(area is not null as int) + cast(age is not null as int) + cast(beds is not null as int) as core_feature_count, cast(floor(area / nullif(beds + 1, 0)) as bigint) as area_per_room from b")
+@query(f"with b as (select l_orderkey, l_linenumber, case when {_AREA} between 0 and 2000 then {_AREA} end as area, case when {_AGE} between 0 and 250 then {_AGE} end as age, {_FLOOR} as floor_no, case when {_BED} between 0 and 10 then {_BED} end as beds from lineitem) select l_orderkey, l_linenumber, area, age, beds, {bucket_sql('area', rules.AREA_BUCKETS)} as area_bucket, {bucket_sql('age', rules.AGE_BUCKETS)} as age_bucket, {bucket_sql('floor_no', rules.FLOOR_BUCKETS)} as floor_bucket, case when beds is null then '' when beds <= 1 then '02_one_bedroom' when beds = 2 then '03_two_bedroom' when beds = 3 then '04_three_bedroom' else '05_four_plus_bedroom' end as room_bucket, cast(area is not null as int) + cast(age is not null as int) + cast(beds is not null as int) + 1 as core_feature_count, round_even(area::double / (beds + 1), 2) as area_per_room_sqm, round_even(beds::double / l_linenumber, 2) as bedrooms_per_bathroom from b")
 def outliers_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library's bounds and derived columns over numbers of line items."""
     q = lambda x: F.col(x).cast("bigint")
-    bound = lambda c, top: F.when(c.between(0, top), c)
-    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", bound((F.col("l_quantity") * 60).cast("bigint"), rules.MAXIMA["covered_area_sqm"]).alias("area"), bound(q("l_suppkey") * 3, rules.MAXIMA["age_years"]).alias("age"), (q("l_linenumber") * 2 - 2).alias("floor_no"), bound(q("l_partkey") % 14, rules.MAXIMA["bedrooms"]).alias("beds"))
-    c = F.col
-    none = F.lit(None).cast("bigint")
-    return rows.select("l_orderkey", "l_linenumber", "area", "age", "beds", S.bucket(c("area"), rules.AREA_BUCKETS).alias("area_bucket"), S.bucket(c("age"), rules.AGE_BUCKETS).alias("age_bucket"), S.bucket(c("floor_no"), rules.FLOOR_BUCKETS).alias("floor_bucket"), listing.room_bucket(none, c("beds"), F.lit(False)).alias("room_bucket"), sum((c(x).isNotNull().cast("int") for x in ("area", "age", "beds")), F.lit(0)).alias("core_feature_count"), F.floor(c("area") / F.nullif(c("beds") + 1, F.lit(0))).cast("long").alias("area_per_room"))
+    own = {"covered_area_sqm": (F.col("l_quantity") * 60).cast("bigint"), "age_years": q("l_suppkey") * 3, "floor_number": q("l_linenumber") * 2 - 2, "bedrooms": q("l_partkey") % 14, "bathrooms": q("l_linenumber")}
+    blank = {c: F.lit(None).cast("bigint") for c in ("total_area_sqm", "total_rooms", "parking_spaces")} | {c: F.lit("") for c in ("property_subtype", "title", "description", "country", "province", "city", "neighborhood")}
+    rows = listing.derived(listing.bounded(t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[v.alias(k) for k, v in (own | blank).items()])))
+    return rows.select("l_orderkey", "l_linenumber", F.col("covered_area_sqm").alias("area"), F.col("age_years").alias("age"), F.col("bedrooms").alias("beds"), "area_bucket", "age_bucket", "floor_bucket", "room_bucket", "core_feature_count", "area_per_room_sqm", "bedrooms_per_bathroom")
 
 
 @query("select c_custkey, concat_ws(' | ', nullif(r_name, ''), nullif(n_name, ''), nullif(c_mktsegment, '')) as location_key from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
 def location_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = t(spark, sf_dir, "nation").join(F.broadcast(t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = t(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations, 5 regions
-    return rows.select("c_custkey", F.concat_ws(" | ", *[F.nullif(F.col(c), F.lit("")) for c in ("r_name", "n_name", "c_mktsegment")]).alias("location_key"))
+    return rows.select("c_custkey", listing.location_key(F.col("r_name"), F.col("n_name"), F.col("c_mktsegment"), F.lit(None).cast("string")).alias("location_key"))
 
 
 @query("with w as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,12}'))) as w from documents) select 'has_' || w as \"column\", count(*) as n from w group by 1 having count(*) >= 2")
 def amenity_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,12})"), 1))
-    columns = F.transform(words, lambda w: F.concat(F.lit("has_"), w))
-    return tables.support(t(spark, sf_dir, "documents").select(F.map_from_arrays(columns, F.transform(columns, lambda _: F.lit(1))).alias("flags")))
+    return tables.support(t(spark, sf_dir, "documents").select(F.transform(words, lambda w: F.concat(F.lit("has_"), w)).alias("flags")))
 
 
 @query("select event_id, json_extract_string(props, '$.k') as k from events")
 def json_first_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return P.json_first(t(spark, sf_dir, "events").select("event_id", "props"), "props", "k").select("event_id", F.nullif("found", F.lit("")).alias("k"))
 
 
 @query("select page_id, url, null::bigint as doc_id, null::varchar as lang from pages union all select null, null, doc_id, lang from documents")
@@ -285,6 +284,51 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", S.norm_key(F.substring("text", 1, 200)).alias("norm_key"), F.length(S.clean_text(F.col("text"))).cast("long").alias("clean_chars"))
 
 
+_EXPENSES = (r"(?:expensas|gastos\s+comunes)[^\d$U]{0,30}(U\$S|US\$|USD|ARS|AR\$|UYU|\$U|\$)?\s*([\d.,]+)", r"(U\$S|US\$|USD|ARS|AR\$|UYU|\$U|\$)?\s*([\d.,]+)\s*(?:de\s*)?(?:expensas|gastos\s+comunes)")
+
+
+def usd_sql(amount: str, currency: str) -> str:
+    """Of a page from AR."""
+    c = f"replace(replace(upper({currency}), 'U$S', 'USD'), 'US$', 'USD')"
+    return f"case when {c} in ('ARS', 'AR$', '$') then cast(round_even({amount}/1500.0::double, 0) as bigint) else {amount} end"
+
+
+def _expenses_sql(i: int) -> str:
+    amount, currency = price_sql(rx("text", _EXPENSES[i], 2)), f"upper(coalesce({rx('text', _EXPENSES[i])}, '$'))"
+    usd = usd_sql(amount, currency)
+    rest = _expenses_sql(i + 1) if i + 1 < len(_EXPENSES) else "null"
+    return f"case when {amount} >= 100 and not ({amount} is not distinct from original or {usd} is not distinct from dollars) then {{'original': {amount}, 'currency': {currency}, 'usd': {usd}}} else {rest} end"
+
+
+@query(
+    f"with x as (select k, text, {_price_case(0)} as p from {TEXT_SQL}), y as (select k, text, p.amount as original, {usd_sql('p.amount', 'p.currency')} as dollars from x), "
+    f"z as (select k, {_expenses_sql(0)} as e from y) select k, e.original as expenses_original, e.currency as expenses_currency, e.usd as expenses_usd from z where e is not null"
+)
+def expenses_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, none = F.col("text"), F.lit(None).cast("string")
+    rows = texts(spark, sf_dir).withColumn("p", listing.price(x, none, none, F.lit("AR")))
+    rows = rows.select("k", listing.expenses(x, F.lit("AR"), F.col("p.original"), F.col("p.usd")).alias("e")).filter("e is not null")
+    return rows.select("k", *[F.col(f"e.{c}").alias(f"expenses_{c}") for c in ("original", "currency", "usd")])
+
+
+_MD = "(select p_partkey as k, '### Servicios' || chr(10) || '* ' || p_type || chr(10) || '*  ' || p_name || ' ' || chr(10) || case when p_partkey % 3 = 0 then '' else '### Ambientes' || chr(10) || '* ' || p_brand || chr(10) end || '### Fin' as md from part)"
+_BULLETS = r"list_filter(list_transform(regexp_extract_all({}, '\*\s+([^\n*]+?)\s*(?:\n|$)', 1), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _section_sql(name: str) -> str:
+    return rf"regexp_extract(md, '###\s*{name}(.+?)(?:###|\z)', 1, 'si')"
+
+
+@query(f"select k, array_to_string({_BULLETS.format(_section_sql('Servicios'))}, '|') as services, array_to_string({_BULLETS.format(_section_sql('Ambientes'))}, '|') as rooms, cast(len({_BULLETS.format('md')}) as int) as bullets from {_MD}")
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = lambda *x: F.concat(*x, F.lit("\n"))
+    rooms = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(line(F.lit("### Ambientes\n* "), F.col("p_brand")))
+    md = F.concat(line(F.lit("### Servicios")), line(F.lit("* "), F.col("p_type")), line(F.lit("*  "), F.col("p_name"), F.lit(" ")), rooms, F.lit("### Fin"))
+    rows = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), md.alias("md"))
+    listed = lambda c: F.array_join(S.bullets(c), "|")
+    return rows.select("k", listed(S.section(F.col("md"), "Servicios")).alias("services"), listed(S.section(F.col("md"), "Ambientes")).alias("rooms"), F.size(S.bullets(F.col("md"))).alias("bullets"))
+
+
 def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages read with the HTML parser; no SQL form."""
     rows = P.parse_html(t(spark, sf_dir, "pages"))

@@ -33,6 +33,19 @@ def dumps(spark: SparkSession, path: str, source_rank: int) -> DataFrame:
     return items.select(F.lit(source_rank).alias("source_rank"), "file", "pos", text("url"), text("markdown"), text("metadata.title"))
 
 
+def robots_texts(bases: Sequence[str], timeout: float = 20.0) -> dict[str, str]:
+    """Host to robots.txt of some sites, for ``allowed``; a host whose file can't be read sets no bounds."""
+    texts = {}
+    for base in bases:
+        parts = urlsplit(base)
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"{parts.scheme}://{parts.netloc}/robots.txt", headers=HEADERS), timeout=timeout) as r:
+                texts[parts.netloc.lower()] = r.read().decode("utf-8", "replace")
+        except (OSError, ValueError):
+            continue
+    return texts
+
+
 def allowed(urls: DataFrame, robots: dict[str, str], agent: str = "*") -> DataFrame:
     """Rows whose host's robots.txt lets them be read. robots: host to text; a host without one sets no bounds."""
 
@@ -51,7 +64,12 @@ def allowed(urls: DataFrame, robots: dict[str, str], agent: str = "*") -> DataFr
 
 
 def fetch(urls: DataFrame, delay: float = 1.0, timeout: float = 20.0) -> DataFrame:
-    """url, status_code, html: an error on the way gives nulls, a body that isn't HTML a null html. Waits delay and up to 35% more after each body."""
+    """url, status_code, html: an error on the way gives nulls, a body that isn't HTML a null html. 
+
+    A host's URLs go to one task, which waits delay and up to 35% more after
+    each body, so no host is asked twice at a time. Write the result before
+    using it: a plan that is run again fetches again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,7 +91,8 @@ def fetch(urls: DataFrame, delay: float = 1.0, timeout: float = 20.0) -> DataFra
                     time.sleep(delay * (1 + 0.35 * random()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string()))] if rows else [], ["url", "status_code", "html"])
 
-    return urls.select("url").mapInArrow(run, "url string, status_code int, html string")
+    by_host = urls.select("url").repartition(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)))
+    return by_host.mapInArrow(run, "url string, status_code int, html string")
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:

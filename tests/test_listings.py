@@ -162,3 +162,68 @@ def test_crawl_moves_past_missing_pages(spark):
     got = {r["url"].removeprefix(base): (r["page_class"], r["crawl_seq"]) for r in crawl(start, snap, per_round=3).collect()}
     assert got == {"/casas-en-venta": ("search", 1)} | {f"/casa-en-venta--100000{i}": ("empty", i + 2) for i in range(6)} | {"/casa-en-venta--1000006": ("detail", 8)}
     assert crawl(start, snap, max_pages=5, per_round=2).count() == 5
+
+
+def test_deep_json_and_all_values(spark):
+    deep = '<script type="application/ld+json">' + '{"a":' * 3000 + "1" + "}" * 3000 + "</script><p>text</p>"
+    far = '<script type="application/ld+json">' + "[" * 400 + '{"price": "5"}' + "]" * 400 + "</script>"
+    got = [r["page"] for r in parsed(spark, deep).filter("html is not null").collect()] + [pages.facts_of(far)]
+    assert got[0]["text"] == "text" and got[1]["json_price"] == "5"
+    pairs = pages.json_pairs([{"Price": [1], "x": {"price": " "}}, {"price": "7  8", "name": True}])
+    assert pages.json_values(pairs, "price") == [[1], " ", "7  8"] and pages.json_scalar(pairs, "PRICE") == "7 8"
+
+
+def test_tidy_links(spark):
+    got = spark.createDataFrame([(["\"/a\"", "./b", "x.html", "https:\\/\\/h.uy\\/c;", "/a b", "&quot;/a&quot;", None],)], "l array<string>").select(pages.tidy_links(F.col("l")).alias("l")).first()["l"]
+    assert got == ["/a", "/b", "https://h.uy/c"]
+
+
+def test_description_is_cut_and_time_is_given(spark):
+    row = parsed(spark, PAGE.replace("</head>", '<meta name="description" content="' + "palabra " * 300 + '"></head>')).filter("html is not null")
+    ready = listing.stamped(pages.described(row.withColumn("site", F.lit("argenprop")).withColumn("country", F.lit("AR"))))
+    r = listing.extract(ready).first()
+    assert len(r["description"]) == rules.DESCRIPTION_CHARS and r["description_length_chars"] == rules.DESCRIPTION_CHARS
+    assert r["listing_title"] == "Departamento en Palermo, Capital Federal" and len(r["scraped_at"]) == 25 and r["scraped_at"].endswith("+00:00")
+    assert listing.matches_mode(listing.extract(ready), True).count() == 1
+
+
+def test_leftmost_floor_and_yes(spark):
+    md = "**Casa en Centro, Montevideo**\nU$S 155.000 3° piso luego piso 5\n•\n\nBarrio privado\n\n**Yes**\n" + "texto " * 60
+    r = markdown.parse_b(spark.createDataFrame([(1, "g", 0, "https://x.uy/a/1234567", md)], "source_rank int, file string, pos int, url string, markdown string")).first()
+    assert r["floor_number"] == 3 and "is_gated_community" in r["flags"]
+
+
+def test_harvest(spark):
+    from listforge.operators.crawl import harvest
+
+    base = "https://www.argenprop.com"
+    page = lambda kind, extra="": f"<title>{kind} en venta</title><p>USD 120.000 3 ambientes</p>{extra}"
+    link = lambda *paths: "".join(f'<a href="{p}">x</a>' for p in paths)
+    snap = [("/deptos-en-venta", link("/departamento-en-venta--1000001", "/departamento-en-venta--1000002", "/casa-en-venta--1000003")), ("/departamento-en-venta--1000001", page("Departamento")), ("/departamento-en-venta--1000002", page("Departamento")), ("/casa-en-venta--1000003", page("Casa", link("/departamento-en-venta--1000004"))), ("/departamento-en-venta--1000004", page("Departamento"))]
+    pages_ = spark.createDataFrame([(base + u, 200, h) for u, h in snap], "url string, status_code int, html string")
+    start = spark.createDataFrame([(base + "/deptos-en-venta", "argenprop"), (base + "/casa-en-venta--1000003", "argenprop")], "url string, site string")
+    ids = lambda rows: sorted(r["listing_id"] for r in rows.collect())
+    read, rows = harvest(start, pages_)
+    assert read.count() == 5 and ids(rows) == ["1000001", "1000002", "1000003", "1000004"]
+    # In apartment mode the house gives no row, and its page no links.
+    read, rows = harvest(start, pages_, apartments_only=True)
+    assert ids(rows) == ["1000001", "1000002"] and read.filter("url like '%1000004'").count() == 0
+    # A met budget of properties ends a site's rounds.
+    read, rows = harvest(start, pages_, max_properties=1, per_round=1)
+    assert rows.count() == 1 and read.count() < 5
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    from listforge.sources import io
+
+    (tmp_path / "seeds.md").write_text("# AR\n- https://b.com/\n- (https://a.com/x) https://b.com\n")
+    assert [r["url"] for r in io.seed_list(spark, str(tmp_path / "seeds.md")).collect()] == ["https://a.com/x", "https://b.com"]
+    urls = spark.createDataFrame([("https://a.com/private/1",), ("https://a.com/2",), ("https://c.com/private",)], "url string")
+    assert sorted(r["url"] for r in io.allowed(urls, {"a.com": "User-agent: *\nDisallow: /private"}).collect()) == ["https://a.com/2", "https://c.com/private"]
+    rows = spark.createDataFrame([(1, "a,\"b\"", None), (2, "", "x")], "i int, t string, z string")
+    io.write_csv(rows, str(tmp_path / "csv"), ["t", "i"])
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
+    assert back.columns == ["t", "i"] and {(r["t"], r["i"]) for r in back.collect()} == {('a,"b"', "1"), (None, "2")}
+    io.write_jsonl(rows, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+    assert io.robots_texts(["http://127.0.0.1:9/"], timeout=0.5) == {}
