@@ -32,7 +32,6 @@ import json
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +53,8 @@ LONG = 128
 CHUNK_WORDS = 1024
 #: Longer texts are cut into words one at a time.
 LONG_TEXT = 1 << 20
-#: A token number is below 2^20; a pair of them and its rank share a long.
-BITS = 20
-NO_RANK = 1 << BITS
+#: Token numbers have so many bits at most; a pair of them and its rank share a long.
+MOST_BITS = 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -73,21 +71,23 @@ class RankMap:
     """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        if max(ranks.values(), default=0) >> BITS:
-            raise ValueError(f"a rank above {1 << BITS}")
+        self.bits = (max(ranks.values(), default=0) + 1).bit_length()
+        self.none = (1 << self.bits) - 1  # above all ranks: no such pair
+        if self.bits > MOST_BITS:
+            raise ValueError(f"a rank above {(1 << MOST_BITS) - 2}")
         pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         # Nearly full: the literal is in every plan and its descriptions.
-        self.groups, self.slots = max(1, len(pairs) // 3) | 1, max(len(pairs) + 1, len(pairs) * 21 // 20) | 1
+        self.groups, self.slots = max(1, len(pairs) // 3) | 1, max(len(pairs) + 1, len(pairs) * 11 // 10) | 1
         while not self._place(pairs):
             self.groups, self.slots = self.groups + 2, self.slots + 2
         self.start = [ranks.get(bytes([b]), -1) for b in range(256)]
-        self.two = [ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)]
+        self.two = [ranks.get(bytes([a, b]), self.none) for a in range(256) for b in range(256)]
         self.unreached = frozenset(t for t, r in ranks.items() if len(t) > 1 and encode_long(t, ranks) != [r])
 
     def _place(self, pairs: dict[tuple[int, int], int]) -> bool:
         groups = defaultdict(list)
         for (a, b), rank in pairs.items():
-            key = (a << BITS) + b
+            key = (a << self.bits) + b
             groups[key % self.groups].append((key, rank))
         self.entries, self.moves = [-1] * self.slots, [0] * self.groups
         free, rng = np.ones(self.slots, bool), np.random.default_rng(5)
@@ -104,7 +104,7 @@ class RankMap:
                 return False
             free[to], self.moves[g] = False, move
             for i, (key, rank) in zip(to.tolist(), own):
-                self.entries[i] = (key << BITS) + rank
+                self.entries[i] = (key << self.bits) + rank
         return True
 
     def literal(self) -> Column:
@@ -113,15 +113,15 @@ class RankMap:
         return F.from_json(F.lit(held), "entries array<bigint>, moves array<int>, start array<int>, two array<int>")
 
     def rank(self, a: Column, b: Column, entries: Column, moves: Column) -> Column:
-        """Rank of two neighbours' join, NO_RANK if it has none."""
-        key = F.shiftleft(a.cast("long"), BITS) + b
+        """Rank of two neighbours' join, ``none`` if it has none."""
+        key = F.shiftleft(a.cast("long"), self.bits) + b
         slot = ((key % self.slots + F.get(moves, (key % self.groups).cast("int"))) % self.slots).cast("int")
-        return let(F.get(entries, slot), lambda e: F.when(F.shiftright(e, BITS) == key, e.bitwiseAND((1 << BITS) - 1).cast("int")).otherwise(NO_RANK))
+        return let(F.get(entries, slot), lambda e: F.when(F.shiftright(e, self.bits) == key, e.bitwiseAND((1 << self.bits) - 1).cast("int")).otherwise(self.none))
 
     def ids(self, words: Column) -> Column:
         """Ids of each of the words, which are arrays of their bytes' values."""
         def of(entries: Column, moves: Column, start: Column, two: Column) -> Column:
-            return F.transform(words, lambda word: encoded(word, lambda a, b: self.rank(a, b, entries, moves), start, two))
+            return F.transform(words, lambda word: encoded(word, lambda a, b: self.rank(a, b, entries, moves), start, two, self.none))
 
         return let(self.literal(), lambda t: let(t["entries"], lambda e: let(t["moves"], lambda m: let(t["start"], lambda s: let(t["two"], lambda two: of(e, m, s, two))))))
 
@@ -131,13 +131,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def encoded(word: Column, rank: Callable[[Column, Column], Column], start: Column, two: Column) -> Column:
+def encoded(word: Column, rank: Callable[[Column, Column], Column], start: Column, two: Column, no_rank: int) -> Column:
     """Ids of one word: merges of lowest rank first, as a fold.
 
     The state is (p, r): pieces, and the rank of each piece's join with the
     next. A step joins the leftmost pair of lowest rank and looks up the two
     pairs that this makes; without a pair to join it changes nothing. ``start``
-    has each byte's number, ``two`` each pair of bytes' rank.
+    has each byte's number, ``two`` each pair of bytes' rank; a pair without a rank has no_rank.
     """
     none, n = F.slice(F.array(F.lit(0)), 1, 0), F.size(word)
 
@@ -151,7 +151,7 @@ def encoded(word: Column, rank: Callable[[Column, Column], Column], start: Colum
                 ranks = F.transform(F.filter(r, lambda _, j: j != i - 1), lambda x, j: F.when(j == i - 2, left).when(j == i - 1, right).otherwise(x))
                 return F.struct(pieces.alias("p"), ranks.alias("r"))
 
-            return F.when(best < NO_RANK, let(F.array_position(r, best).cast("int"), at)).otherwise(F.struct(p.alias("p"), none.alias("r")))
+            return F.when(best < no_rank, let(F.array_position(r, best).cast("int"), at)).otherwise(F.struct(p.alias("p"), none.alias("r")))
 
         return F.when(F.size(r) > 0, let(F.array_min(r), joined)).otherwise(state)
 
@@ -217,8 +217,11 @@ def _packed_words(words: pa.Array) -> bytes:
     """Sorted words, each without the start that it shares with the one before."""
     raw, kept, shared, before = words.to_pylist(), [], [], b""
     for w in raw:
-        n = len(commonprefix((before, w))) if w[:1] == before[:1] else 0
-        n = min(n, 255)
+        n = 0
+        for x, y in zip(before[:255], w):
+            if x != y:
+                break
+            n += 1
         shared.append(n)
         kept.append(w[n:])
         before = w
@@ -347,8 +350,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     rank_map = RankMap(ranks)
     met = met_words(blocks, parts, max(1, held // (REGION * BLOCK_CHARS)), rank_map.unreached)
     coded = met.select("bucket", "refs", "long", rank_map.ids(F.col("words")).alias("ids"))
-    del rank_map
-    give_back()  # the driver's memory too
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,7 +369,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                     packed.append(pack_table(pa.table({"n": [n.astype(np.uint32).tobytes()], "ids": [_planes(flat[index])]})))
                 yield pa.RecordBatch.from_arrays([t.column("block").combine_chunks(), pa.array([bucket] * len(t), pa.int32()), t.column("at").combine_chunks(), pa.array(packed, pa.binary())], ["block", "bucket", "at", "packed"])
 
-    coded = coded.mapInArrow(trimmed(back), "block long, bucket int, at int, packed binary").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "at", "packed"))).alias("coded"))
+    # Checkpointed: the fold is the dearest step, and the literal stays out of all later plans.
+    coded = dealt(coded.mapInArrow(trimmed(back), "block long, bucket int, at int, packed binary"), parts, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "at", "packed"))).alias("coded"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,6 +396,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([doc_ids.slice(a, z - a), out], ["doc_id", "ids"])
                     a, begin = z, int(ends[z - 1])
 
+    give_back()  # the driver's memory too
     return blocks.join(coded, "block", "left").select("payload", "coded").mapInArrow(trimmed(run), "doc_id long, ids binary")
 
 

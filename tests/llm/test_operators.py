@@ -249,6 +249,48 @@ def test_urls(spark):
     assert urls.filter_urls(pages, labels.limit(0), rules).count() == 127
 
 
+def test_nested_names(spark):
+    hosts = {"a.b.example.org": ("example.org", "org"), "x.co.uk:8080": ("x.co.uk", "co.uk"), "u:p@www.x.co.uk": ("x.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "10.1.2.3:80": ("10.1.2.3", "10.1.2.3"), "[::1]": ("[::1]", "[::1]"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r["host"]: (r["d"], r["s"]) for r in df.select("host", *[c.alias(n) for c, n in zip(urls.nested(F.col("host")), "ds")]).collect()} == hosts
+
+
+def test_beta_quantile():
+    rng = np.random.default_rng(1)
+    a, b = np.array([1, 2, 0.5, 30, 300.5]), np.array([1, 5, 0.5, 3, 700])
+    q = urls.beta_quantile(0.95, a, b)
+    assert abs(q[0] - 0.95) < 1e-9 and abs(urls.beta_cdf(np.array([0.25]), np.array([0.5]), np.array([0.5]))[0] - 1 / 3) < 1e-9
+    for x, y, z in zip(a, b, q):
+        assert abs((rng.beta(x, y, 200_000) < z).mean() - 0.95) < 0.003
+
+
+def test_reputation_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    names = [f"h{i}.d{i % 7}.{'com' if i % 2 else 'co.uk'}" for i in range(40)]
+    rate = {f"d{j}": r for j, r in enumerate((0.05, 0.1, 0.9, 0.8, 0.95, 0.5, 0.02))}
+    pages = [(i, f"https://{names[int(rng.integers(40))]}/p{i}") for i in range(3000)]
+    good = {i: bool(rng.random() < rate[u.split(".")[1]]) for i, u in pages if i % 3}
+    df = spark.createDataFrame([(*p, 0, 0) for p in pages], "page_id long, url string, n int, k int")
+    marks = spark.createDataFrame([(i, int(g), 0) for i, g in good.items()], "doc_id long, quality int, toxic int")
+    counts = collections.Counter()
+    for i, u in pages:
+        h = u.split("/")[2]
+        for key in (h, h.split(".", 1)[1], h.split(".", 2)[2], "all"):
+            counts[key, "n"] += i in good
+            counts[key, "k"] += good.get(i, False)
+    parent = lambda x: x.split(".", 1)[1] if x.startswith("h") else x.split(".", 1)[1] if x.startswith("d") else "all"
+    mean = {"all": (counts["all", "k"] + 1) / (counts["all", "n"] + 2)}
+    for level in (["com", "co.uk"], sorted({x.split(".", 1)[1] for x in names}), names):
+        level = [x for x in dict.fromkeys(level) if (x, "n") in counts]
+        p, n, k = (np.array(v, float) for v in ([mean[parent(x)] for x in level], [counts[x, "n"] for x in level], [counts[x, "k"] for x in level]))
+        s, a, b = ((k - n * p) ** 2).sum(), (n * p * (1 - p)).sum(), (n * (n - 1) * p * (1 - p)).sum()
+        m = min(max(b / (s - a) - 1, 1), 1000) if s > a else 1000
+        mean |= dict(zip(level, (k + m * p) / (n + m)))
+    got = {r["host"]: r for r in urls.filter_urls(df, marks, ()).collect()}
+    assert {h: round(mean[h], 6) for h in got} == {h: r["reputation"] for h, r in got.items()}
+    assert {r["verdict"] for r in got.values()} == {"allow", "block"} and all((r["bound"] < 0.5) == (r["verdict"] == "block") for r in got.values())
+
+
 def neighbours(spark, rows, every=50):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, tile int, q int")
     got = collections.defaultdict(list)
