@@ -46,8 +46,8 @@ from listforge.llm.recurrence import mix64, ragged
 K, REVERSE, LEAF, PLANES, TREES, TILE = 24, 24, 128, 5, 4, 1024
 #: Best partners that each member of a local join keeps, and the share of new edges below which the descent ends.
 PARTNERS, SETTLED = 16, 0.02
-#: Nodes that a search keeps, those it opens in a round, and those that are scored in the end.
-WIDTH, EXPAND, SCORED = 256, 48, 40
+#: Nodes that a search keeps, those it opens in a round, and those that are scored in the end; queries in a group.
+WIDTH, EXPAND, SCORED, GROUP = 256, 64, 40, 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def packed(x: np.ndarray) -> pa.Array:
 
 
 def tile_of(ids: np.ndarray, tiles: int) -> np.ndarray:
-    return (mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(tiles)).astype(np.int64)
+    return ids.astype(np.int64) % tiles  # a node's number is a hash
 
 
 def best_pairs(sims: np.ndarray, allowed: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,19 +164,13 @@ class Graph:
             return pa.table(held | {c: pa.ListArray.from_arrays(offsets, pa.array(x[order])) for c, x in (("v", v), ("s", s), ("fresh", fresh))})
 
         merged = nodes.groupBy("tile").cogroup(pairs.groupBy("tile")).applyInArrow(run, NODE)
-        return dealt(merged, self.parts, "tile")
+        return durable(merged)
 
     def edges(self, nodes: DataFrame) -> DataFrame:
         """tile (of c), c, m, fresh, back: every edge in both directions; back says that c is m's neighbour, not m c's."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lists = batch.column(1)
-                u, v, fresh = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(), batch.column(2).flatten()
-                for c, m, back in ((u, v, False), (v, u, True)):
-                    yield pa.RecordBatch.from_arrays([pa.array(tile_of(c, self.tiles)), pa.array(c), pa.array(m), fresh, pa.array(np.full(len(c), back))], ["tile", "c", "m", "fresh", "back"])
-
-        return nodes.select("u", "v", "fresh").mapInArrow(trimmed(run), "tile long, c long, m long, fresh boolean, back boolean")
+        e = nodes.select("u", F.explode(F.arrays_zip("v", "fresh")).alias("e")).select("u", "e.v", "e.fresh")
+        ends = [F.struct(F.col(c).alias("c"), F.col(m).alias("m"), "fresh", F.lit(back).alias("back")) for c, m, back in (("u", "v", False), ("v", "u", True))]
+        return e.select(F.explode(F.array(*ends)).alias("e")).select(F.pmod("e.c", F.lit(self.tiles)).alias("tile"), "e.*")
 
     def near(self, t: pa.Table, reverse: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """c, m, fresh of a tile's edges: all forward ones and a sample of the backward ones, once each, by c."""
@@ -247,65 +241,65 @@ class Graph:
         return dealt(self.edges(nodes).groupBy("tile").applyInArrow(run, "c long, ms array<long>"), self.parts, "c")
 
     def search(self, nodes: DataFrame, asked: DataFrame) -> DataFrame:
-        """q, node: the best SCORED nodes found for each q. asked: q, node (q's own), half."""
+        """q, node: the best SCORED nodes found for each q. asked: q, node (q's own), half. Queries travel in groups of some GROUP."""
         links, dim, tiles = self.links(nodes), self.dim, self.tiles
-        beam = "q long, half binary, node array<long>, s array<float>, open array<boolean>"
-
-        def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for q, half, worst, known, lists in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
-                    ids = np.setdiff1d(lists.values.flatten().to_numpy(), known.values.to_numpy())
-                    tile = tile_of(ids, tiles)
-                    order = np.argsort(tile, kind="stable")
-                    out += [(tile[order[a]], q, half, worst, ids[order[a:z]].tobytes()) for a, z in zip(*runs(tile[order]))]
-                if out:
-                    tile, q, half, worst, ids = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(tile, pa.int64()), pa.array(q, pa.int64()), pa.array([x.as_py() for x in half], pa.binary()), pa.array(worst, pa.float32()), pa.array(ids, pa.binary())], ["tile", "q", "half", "worst", "ids"])
+        groups = max(1, -(-asked.count() // GROUP))
+        state = "qb long, q long, half binary, node array<long>, s array<float>, open array<boolean>"
+        found = "qb long, q long, node array<long>, s array<float>"
+
+        def request(own: pa.Table, steps: pa.Table) -> pa.Table:
+            at = {q: i for i, q in enumerate(own.column("q").to_pylist())}
+            steps = steps.sort_by("q").combine_chunks()
+            qs, lists = steps.column("q").to_numpy(), steps.column("ms").combine_chunks()
+            ids, cuts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+            out = []
+            for a, z in zip(*runs(qs)):
+                i = at[int(qs[a])]
+                known, s = own.column("node")[i].values.to_numpy(), own.column("s")[i].values.to_numpy()
+                new = np.setdiff1d(ids[cuts[a] : cuts[z]], known)
+                new = new[np.argsort(tile_of(new, tiles), kind="stable")]
+                tile, half, worst = tile_of(new, tiles), own.column("half")[i].as_py(), float(s[-1]) if len(s) == WIDTH else -2.0
+                out += [(tile[b], own.column("qb")[i].as_py(), int(qs[a]), half, worst, new[b:e].tobytes()) for b, e in zip(*runs(tile))]
+            kinds = {"tile": pa.int64(), "qb": pa.int64(), "q": pa.int64(), "half": pa.binary(), "worst": pa.float32(), "ids": pa.binary()}
+            return pa.table({c: pa.array([x[i] for x in out], k) for i, (c, k) in enumerate(kinds.items())})
 
         def score(own: pa.Table, wanted: pa.Table) -> pa.Table:
             own = own.sort_by("u").combine_chunks()
             u, x, y = own.column("u").to_numpy(), halves(own.column("half"), dim), halves(wanted.column("half"), dim)
-            q, ids, s = [], [], []
-            for k, (one, worst, held) in enumerate(zip(wanted.column("q").to_pylist(), wanted.column("worst").to_pylist(), wanted.column("ids"))):
+            out = []
+            for k, (qb, q, worst, held) in enumerate(zip(*(wanted.column(c).to_pylist() for c in ("qb", "q", "worst")), wanted.column("ids"))):
                 ask = np.frombuffer(held.as_buffer(), np.int64)
                 sims = x[np.searchsorted(u, ask)] @ y[k]
-                use = sims > worst
-                if use.any():
-                    q.append(one)
-                    ids.append(ask[use])
-                    s.append(sims[use])
-            return pa.table({"q": pa.array(q, pa.int64()), "node": pa.array(ids, pa.list_(pa.int64())), "s": pa.array(s, pa.list_(pa.float32()))})
-
-        def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for node, s, open_, went, found in zip(*(batch.column(i) for i in range(2, 7))):
-                    node, s, open_ = node.values.to_numpy(), s.values.to_numpy(), open_.values.to_numpy(zero_copy_only=False)
-                    if went.is_valid:
-                        open_ = open_ & ~np.isin(node, went.values.to_numpy())
-                    if found.is_valid:
-                        ids, sims = found.values.field("node").flatten().to_numpy(), found.values.field("s").flatten().to_numpy()
-                        node, s, open_ = np.concatenate([node, ids]), np.concatenate([s, sims]), np.concatenate([open_, np.ones(len(ids), bool)])
-                    order = np.lexsort((node, -s))[:WIDTH]
-                    out.append((node[order], s[order].astype(np.float32), open_[order]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.list_(t)) for x, t in zip(zip(*out), (pa.int64(), pa.float32(), pa.bool_())))], ["q", "half", "node", "s", "open"])
-
-        state = durable(asked.select("q", "half", F.array("node").alias("node"), F.array(F.lit(2.0).cast("float")).alias("s"), F.array(F.lit(True)).alias("open")))
+                if (sims > worst).any():
+                    out.append((qb, q, ask[sims > worst], sims[sims > worst]))
+            kinds = {"qb": pa.int64(), "q": pa.int64(), "node": pa.list_(pa.int64()), "s": pa.list_(pa.float32())}
+            return pa.table({c: pa.array([r[i] for r in out], k) for i, (c, k) in enumerate(kinds.items())})
+
+        def take(own: pa.Table, new: pa.Table) -> pa.Table:
+            new = new.sort_by("q").combine_chunks()
+            qs, nodes_, sims = new.column("q").to_numpy(), new.column("node").combine_chunks(), new.column("s").combine_chunks()
+            cuts, ids, sims = np.concatenate([[0], np.cumsum(np.diff(nodes_.offsets.to_numpy()))]), nodes_.flatten().to_numpy(), sims.flatten().to_numpy()
+            at = {int(qs[a]): (cuts[a], cuts[z]) for a, z in zip(*runs(qs))}
+            out = []
+            for q, node, s, open_ in zip(own.column("q").to_pylist(), own.column("node"), own.column("s"), own.column("open")):
+                node, s, open_ = node.values.to_numpy(), s.values.to_numpy(), open_.values.to_numpy(zero_copy_only=False).copy()
+                open_[np.flatnonzero(open_)[:EXPAND]] = False  # these have been opened
+                a, z = at.get(q, (0, 0))
+                node, s, open_ = np.concatenate([node, ids[a:z]]), np.concatenate([s, sims[a:z]]), np.concatenate([open_, np.ones(z - a, bool)])
+                order = np.lexsort((node, -s))[:WIDTH]
+                out.append((node[order], s[order].astype(np.float32), open_[order]))
+            lists = {c: pa.array([x[i] for x in out], pa.list_(k)) for i, (c, k) in enumerate((("node", pa.int64()), ("s", pa.float32()), ("open", pa.bool_())))}
+            return pa.table({c: own.column(c) for c in ("qb", "q", "half")} | lists)
+
+        own = asked.select(F.pmod(F.xxhash64("q"), F.lit(groups)).alias("qb"), "q", "half", F.array("node").alias("node"), F.array(F.lit(2.0).cast("float")).alias("s"), F.array(F.lit(True)).alias("open"))
+        own = durable(own)
         opened = F.slice(F.filter("node", lambda _, i: F.get("open", i)), 1, EXPAND)
-        while True:  # ends: a node is opened once, and a search's worst only rises
-            going = state.withColumn("went", opened).filter(F.size("went") > 0)
-            if going.isEmpty():
-                return state.select("q", F.explode(F.slice("node", 1, SCORED)).alias("node"))
-            steps = going.select("q", F.explode("went").alias("c")).join(links, "c").groupBy("q").agg(F.collect_list("ms").alias("lists"))
-            worst = F.when(F.size("node") < WIDTH, F.lit(-2.0)).otherwise(F.element_at("s", -1)).cast("float")
-            wanted = going.select("q", "half", worst.alias("worst"), F.col("node").alias("known")).join(steps, "q").select("q", "half", "worst", "known", "lists")
-            wanted = wanted.mapInArrow(trimmed(request), "tile long, q long, half binary, worst float, ids binary")
-            found = nodes.groupBy("tile").cogroup(wanted.groupBy("tile")).applyInArrow(score, "q long, node array<long>, s array<float>")
-            found = found.groupBy("q").agg(F.collect_list(F.struct("node", "s")).alias("found"))
-            joined = state.join(going.select("q", "went"), "q", "left").join(found, "q", "left")
-            state = durable(joined.select("q", "half", "node", "s", "open", "went", "found").mapInArrow(trimmed(take), beam))
+        while not own.filter(F.exists("open", lambda x: x)).isEmpty():  # ends: a node is opened once, and a search's worst only rises
+            steps = own.select(F.col("qb").alias("qb"), F.col("q").alias("q"), F.explode(opened).alias("c")).join(links, "c").select("qb", "q", "ms")
+            wanted = own.groupBy("qb").cogroup(steps.groupBy("qb")).applyInArrow(request, "tile long, qb long, q long, half binary, worst float, ids binary")
+            near = nodes.groupBy("tile").cogroup(wanted.groupBy("tile")).applyInArrow(score, found)
+            own = durable(own.groupBy("qb").cogroup(near.groupBy("qb")).applyInArrow(take, state))
+        return own.select("q", F.explode(F.slice("node", 1, SCORED)).alias("node"))
 
 
 def nearest(vectors: DataFrame, is_query: Column, top: int = 5) -> DataFrame:
@@ -334,7 +328,7 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(tile_of(ids, tiles)), batch.column(0), packed(x), *empty], ["tile", "u", "half", "v", "s", "fresh"])
 
     graph = Graph(dim, tiles, parts)
-    placed = dealt(nodes.select("id", "embedding").mapInArrow(trimmed(halve), NODE), parts, "tile")
+    placed = durable(nodes.select("id", "embedding").mapInArrow(trimmed(halve), NODE))
     built = graph.build(placed, n)
     asked = queries.groupBy("vec_id").agg(F.min(F.struct("key", "embedding")).alias("x")).select(F.col("vec_id").alias("q"), F.xxhash64("x.key").alias("node"), F.col("x.embedding").alias("embedding"))
     asked = durable(asked.join(built.select(F.col("u").alias("node"), "half"), "node"))
