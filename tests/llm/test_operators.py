@@ -344,3 +344,33 @@ def test_neighbours_of_many(spark):
 @pytest.mark.parametrize("run", [phrases.remove_phrases, suffix.dedup_bytes, minhash.near_groups, quality.judge, mixing.mix, pii.replace, lambda d: sharding.shard(d, 8)[0]])
 def test_empty(docs, run):
     assert run(docs.limit(0)).count() == 0
+
+
+def test_registered_queries(docs, spark, tmp_path):
+    """The registered queries keep their contracts' columns and types, and agree with their SQL where there is some."""
+    import duckdb
+
+    from listforge.llm import queries
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    contract = {
+        "op1_source_mixing": "doc_id bigint size bigint source_size bigint target double taken bigint",
+        "op2_substring_dedup": "doc_id bigint n_words bigint n_removed bigint kept_sha256 string",
+        "op3_quality_rules": "doc_id bigint n_words bigint word_chars bigint n_symbols bigint n_dup_lines bigint n_repeat_words bigint base_failed boolean kept boolean",
+        "op4_sharding": "doc_id bigint size bigint text_crc32 bigint law string shard int slot bigint grown_shard int",
+        "op7_pii_surrogates": "doc_id bigint text string",
+        "op8_byte_bpe": "doc_id bigint n_tokens bigint ids_sha256 string decoded_sha256 string",
+        "op9_suffix_dedup": "doc_id bigint n_bytes bigint n_removed bigint n_spans bigint kept_sha256 string",
+        "op10_minhash_dedup": "doc_id bigint n_shingles bigint component_id bigint kept boolean",
+    }
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    sql = queries.oracle_sql()
+    for name, columns in contract.items():
+        out = queries.queries()[name](spark, str(tmp_path))
+        names = columns.split()[::2]
+        assert " ".join(f"{c} {dict(out.dtypes)[c]}" for c in names) == columns, name
+        if name in sql:
+            want = con.execute(f"select {', '.join(names)} from ({sql[name]})").fetchall()
+            assert sorted(map(tuple, out.select(names).collect())) == sorted(want), name
+    assert set(sql) == {"op2_substring_dedup", "op9_suffix_dedup", "op10_minhash_dedup"}
