@@ -276,12 +276,12 @@ def page_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("host").agg(F.count("*").alias("pages"), F.countDistinct("url").alias("urls"), F.sum("titled").alias("titled"))
 
 
-_NORM = "trim(regexp_replace(lower(strip_accents(substring(text, 1, 200))), '[^a-z0-9]+', '_', 'g'), '_')"
+_NORM = "trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '_', 'g'), '_')"
 
 
 @query(f"select doc_id, {_NORM} as norm_key, length(trim(regexp_replace(text, '[\\s\\x{{00A0}}\\x{{0085}}]+', ' ', 'g'))) as clean_chars from documents")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "documents").select("doc_id", S.norm_key(F.substring("text", 1, 200)).alias("norm_key"), F.length(S.clean_text(F.col("text"))).cast("long").alias("clean_chars"))
+    return t(spark, sf_dir, "documents").select("doc_id", S.norm_key(F.col("text")).alias("norm_key"), F.length(S.clean_text(F.col("text"))).cast("long").alias("clean_chars"))
 
 
 _EXPENSES = (r"(?:expensas|gastos\s+comunes)[^\d$U]{0,30}(U\$S|US\$|USD|ARS|AR\$|UYU|\$U|\$)?\s*([\d.,]+)", r"(U\$S|US\$|USD|ARS|AR\$|UYU|\$U|\$)?\s*([\d.,]+)\s*(?:de\s*)?(?:expensas|gastos\s+comunes)")
