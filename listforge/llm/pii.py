@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from listforge.llm._common import durable
+from listforge.llm._common import durable, small_batches, trimmed
+from listforge.llm.recurrence import pack_batch, unpack
 
 KEY = b"public test key: set your own"
 ROUNDS = 6
@@ -269,10 +270,14 @@ def entities(text: str) -> Iterator[tuple[str, int, int]]:
                 yield kind, begin, end
 
 
-def replaced(p: Permutation, text: str) -> tuple[str, int]:
+def replaced(p: Permutation, text: str, pairs: set[tuple[str, str, str]]) -> tuple[str, int]:
+    """The text with surrogates, and how many; (kind, entity, surrogate), both in canonical spelling, go into pairs."""
     out, done, n = [], 0, 0
     for kind, begin, end in entities(text):
-        out += [text[done:begin], surrogate(p, kind, text[begin:end])]
+        entity = text[begin:end]
+        new = surrogate(p, kind, entity)
+        pairs.add((kind, canonical(kind, entity), canonical(kind, new)))
+        out += [text[done:begin], new]
         done, n = end, n + 1
     return ("".join([*out, text[done:]]), n) if n else (text, 0)
 
@@ -283,8 +288,10 @@ def mapping(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Permutation(key)
         for batch in batches:
-            found = {(kind, text[a:z]) for text in batch.column(0).to_pylist() if text for kind, a, z in entities(text)}
-            rows = sorted((kind, canonical(kind, e), canonical(kind, surrogate(p, kind, e))) for kind, e in found)
+            found: set[tuple[str, str, str]] = set()
+            for text in batch.column(0).to_pylist():
+                replaced(p, text or "", found)
+            rows = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 3, ["kind", "entity", "surrogate"])
 
     return docs.select("text").mapInArrow(run, "kind string, entity string, surrogate string").distinct()
@@ -304,22 +311,40 @@ def collisions(pairs: DataFrame) -> DataFrame:
 
 
 def replace(docs: DataFrame, key: bytes = KEY, counted: bool = False) -> DataFrame:
-    """docs with surrogates in ``text``; counted: and n_replaced."""
-    bad = collisions(durable(mapping(docs, key))).take(3)
-    if bad:
-        raise ValueError(f"surrogates collide: {[(r['kind'], r['surrogate']) for r in bad]}")
+    """docs with surrogates in ``text``; counted: and n_replaced, in the place of any column of that name.
+
+    Texts are searched once: rows leave the search packed, with the pairs of
+    entity and surrogate that it made, and are unpacked once those are checked.
+    """
+    docs = docs.drop("n_replaced") if counted else docs
     at = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, *[StructField("n_replaced", LongType())] * counted])
+    names = schema.names
+    pair = pa.list_(pa.struct([(c, pa.string()) for c in ("kind", "entity", "surrogate")]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Permutation(key)
         for batch in batches:
-            rows = [(None, 0) if t is None else replaced(p, t) for t in batch.column(at).to_pylist()]
+            if not batch.num_rows:
+                continue
+            found: set[tuple[str, str, str]] = set()
+            rows = [(None, 0) if t is None else replaced(p, t, found) for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array([t for t, _ in rows], batch.schema.field(at).type)
             if counted:
                 columns.append(pa.array([n for _, n in rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, names)
+            made = [dict(zip(("kind", "entity", "surrogate"), x)) for x in sorted(found)]
+            payload = pack_batch(pa.RecordBatch.from_arrays(columns, names))
+            yield pa.RecordBatch.from_arrays([pa.array([payload], pa.binary()), pa.array([made], pair)], ["payload", "pairs"])
 
-    schema = StructType([*docs.schema.fields, *[StructField("n_replaced", LongType())] * counted])
-    names = schema.names
-    return docs.mapInArrow(run, schema)
+    def rows_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                yield from unpack(payload.as_buffer()).to_batches()
+
+    small_batches(docs.sparkSession)
+    held = durable(docs.mapInArrow(trimmed(search), "payload binary, pairs array<struct<kind: string, entity: string, surrogate: string>>"))
+    bad = collisions(durable(held.select(F.inline("pairs")).distinct())).take(3)
+    if bad:
+        raise ValueError(f"surrogates collide: {[(r['kind'], r['surrogate']) for r in bad]}")
+    return held.select("payload").mapInArrow(trimmed(rows_again), schema)
