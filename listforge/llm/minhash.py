@@ -13,8 +13,9 @@ smallest rows. Once those links have been followed, each row outside the
 largest group of a bucket goes, once, to every block of documents that holds
 a member of the bucket and is compared there, by packed bits, with all members
 of other groups: any two rows of different groups that share a bucket meet
-this way, so no link that banding can see is lost (a pair at similarity 0.8
-shares no bucket with probability 5e-8).
+this way, so of the links only those are lost that banding or the estimate
+cannot see (a pair at similarity 0.8 shares no bucket with probability 5e-8,
+and is estimated too low with probability 3e-9).
 
 Groups are found by joins alone: each round gives a label the smallest label
 across a link, and halves chains of labels, until nothing changes.
@@ -42,8 +43,8 @@ from listforge.llm._common import give_back, input_bytes, trimmed
 from listforge.llm.recurrence import BUCKET_BYTES, NULL_ID, PLACE_BITS, mix64, open_block, pack, pack_table, unpack, word_hashes
 
 MINIMA, BANDS, BITS = 128, 32, 4
-#: How far below the threshold an estimate may be: over four standard deviations at 0.8.
-SLACK = 0.16
+#: How far below the threshold an estimate may be: a pair at 0.8 falls below that with probability 3e-9 (binomial tail), less often than it shares no band.
+SLACK = 0.24
 #: Members of its largest group that a split bucket's other rows meet first.
 RELAYS = 8
 

@@ -102,6 +102,16 @@ def test_minhash(docs):
     assert one.columns == docs.columns and {r["doc_id"] for r in one.collect()} == {i for i in want if want[i][2]}
 
 
+def test_minhash_misses():
+    """Chances, at similarity 0.8, that no band agrees and that the estimate falls below the gate."""
+    from math import comb
+
+    agree, n = 0.8 + 0.2 / (1 << minhash.BITS), minhash.MINIMA
+    least = (0.8 - minhash.SLACK) * (1 - 1 / (1 << minhash.BITS)) + 1 / (1 << minhash.BITS)
+    assert sum(comb(n, k) * agree**k * (1 - agree) ** (n - k) for k in range(n + 1) if k / n < least) < 1e-8
+    assert (1 - 0.8 ** (n // minhash.BANDS)) ** minhash.BANDS < 1e-7
+
+
 def test_quality(docs):
     got = rows_of(quality.judge(docs), *quality.COUNTS[:5], "base_failed", "kept")
     for i, t, *_ in ROWS:
