@@ -9,13 +9,15 @@ threshold are left. Every other pair whose rows are not in one group yet is
 confirmed on the full sets.
 
 No bucket is ever expanded into pairs. First each row meets its buckets'
-smallest rows. Once those links have been followed, each row outside the
-largest group of a bucket goes, once, to every block of documents that holds
-a member of the bucket and is compared there, by packed bits, with all members
-of other groups: any two rows of different groups that share a bucket meet
-this way, so of the links only those are lost that banding or the estimate
-cannot see (a pair at similarity 0.8 shares no bucket with probability 5e-8,
-and is estimated too low with probability 3e-9).
+smallest rows. Once those links have been followed, the rows outside the
+largest group of a bucket are held against the bucket's other groups by packed
+bits. Groups with likely pairs form families, and each row of a family goes,
+with its set, once to the place where its family meets; a family above
+``TILE_BYTES`` meets in pairs of tiles. There its outside rows are compared
+with all rows of other groups: any two rows of different groups that share a
+bucket meet this way, so of the links only those are lost that banding or the
+estimate cannot see (a pair at similarity 0.8 shares no bucket with
+probability 5e-8, and is estimated too low with probability 3e-9).
 
 Groups are found by joins alone: each round gives a label the smallest label
 across a link, and halves chains of labels, until nothing changes.
@@ -47,6 +49,8 @@ MINIMA, BANDS, BITS = 128, 32, 4
 SLACK = 0.24
 #: Members of its largest group that a split bucket's other rows meet first.
 RELAYS = 8
+#: Bytes of sets that meet at one place (a row counts as ROW_BYTES at least), and members of a bucket that its outside rows are held against in one task.
+TILE_BYTES, ROW_BYTES, PART_ROWS = 8 << 20, 2048, 1024
 
 #: Most partitions of the tables between rounds: as many as the input has blocks of work.
 _parts: ContextVar[int] = ContextVar("parts")
@@ -106,6 +110,12 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - unlike / MINIMA) - chance) / (1 - chance)
 
 
+def likely(percent: int) -> Column:
+    """Of sketches x and y: sets whose sizes differ too much cannot be alike, whatever the estimate."""
+    sizes_fit = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    return sizes_fit & (estimate(F.col("x.bits"), F.col("y.bits")) >= percent / 100 - SLACK)
+
+
 def _lanes(x: Column) -> Column:
     two = x.bitwiseOR(F.shiftrightunsigned(x, 1))
     return two.bitwiseOR(F.shiftrightunsigned(two, 2)).bitwiseAND(F.lit(0x1111111111111111))
@@ -183,50 +193,109 @@ def confirmed(pairs: DataFrame, blocks: DataFrame, size: int, percent: int) -> D
     return durable(blocks.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(meet, "a long, b long"))
 
 
-def links_outside(inside: DataFrame, blocks: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links a, b of rows outside their split bucket's largest group with anything in the blocks that share a bucket.
+def unlike_minima(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the minima, packed along the last axis, differ."""
+    x = x ^ y
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=-1)
+
+
+def promising(unlike: np.ndarray, percent: int) -> np.ndarray:
+    """As likely(), on counts of unlike minima."""
+    return (1 - unlike / MINIMA - 1 / 16) / (1 - 1 / 16) >= percent / 100 - SLACK
 
-    An outside row goes, with its set and bits, once to each such block, where
-    it is held against all members of split buckets that are of other groups.
+
+def matrix(bits: pa.ChunkedArray) -> np.ndarray:
+    return bits.combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(bits), -1)
+
+
+def families(inside: DataFrame, percent: int) -> DataFrame:
+    """node, label: groups that have likely pairs in a split bucket, and the family of each. inside: see split_buckets.
+
+    A bucket's members are dealt into parts; its outside rows go to each part.
     """
-    keys = inside.groupBy("key").agg(F.collect_set(_block("row")).alias("blocks"))
-    outer = inside.filter("label <> top").join(keys, "key").groupBy("row").agg(F.first("label").alias("label"), F.first("sketch").alias("sketch"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
-    outer = durable(outer)
-    sent = outer.join(sets_of(outer.select("row"), blocks, size), "row").select(F.explode("blocks").alias("block"), F.col("row").alias("a"), "label", F.col("sketch.n").alias("n"), F.col("sketch.bits").alias("bits"), "shingles")
-    members = inside.select("row", "label", "sketch").distinct().groupBy(_block("row").alias("block")).agg(*[F.collect_list(c).alias(n) for c, n in ((F.struct(_place("row").alias("place"), "label", F.col("sketch.n").alias("n")), "rows"), (F.col("sketch.bits"), "bits"))])
-    held = blocks.join(members, "block")
 
-    def meet(block: pa.Table, sent: pa.Table) -> pa.Table:
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("key", "ascending"), ("part", "ascending")])
+        key, part, label, n, outer, own = (t.column(c).to_numpy() for c in ("key", "part", "label", "n", "outer", "own"))
+        bits = matrix(t.column("bits"))
+        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]), True])
+        found = [np.zeros((0, 2), np.int64)]
+        for a, z in zip(cuts, cuts[1:]):
+            x, y = a + np.flatnonzero(outer[a:z]), a + np.flatnonzero(own[a:z])
+            for i in range(0, len(x), 64):
+                left, right = np.nonzero((label[x[i : i + 64], None] != label[y]) & (100 * np.minimum(n[x[i : i + 64], None], n[y]) >= percent * np.maximum(n[x[i : i + 64], None], n[y])))
+                left, right = x[i + left], y[right]
+                hope = promising(unlike_minima(bits[left], bits[right]), percent)
+                ends = np.stack([label[left[hope]], label[right[hope]]], axis=1)
+                found.append(np.unique(np.sort(ends, axis=1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        give_back()
+        return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
+
+    parts = inside.groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    sent = inside.join(parts, "key").withColumns({"outer": F.col("label") != F.col("top"), "at": F.pmod(F.xxhash64("row"), "parts").cast("int")})
+    every = F.when(F.col("outer"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("at"))
+    sent = sent.select("key", F.explode(every).alias("part"), "at", "label", "outer", F.col("sketch.n").alias("n"), F.col("sketch.bits").alias("bits"))
+    # Many buckets a task: most are small.
+    bins = F.lit(-(-inside.count() // (8 * PART_ROWS)))
+    sent = sent.withColumns({"own": F.col("part") == F.col("at"), "bin": F.pmod(F.xxhash64("key", "part"), bins)})
+    return components(durable(sent.groupBy("bin").applyInArrow(meet, "u long, v long").distinct()))
+
+
+def meetings(inside: DataFrame, percent: int) -> DataFrame:
+    """family, tile, tiles, row, label, outer, sketch: once each row of a family. Small families share a number below 0."""
+    rows = inside.groupBy("row").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("top")).alias("outer"), F.first("sketch").alias("sketch"))
+    rows = durable(rows.join(families(inside, percent).select(F.col("node").alias("label"), F.col("label").alias("family")), "label"))
+    weights = rows.groupBy("family").agg(F.sum(F.greatest(F.col("sketch.n") * 8, F.lit(ROW_BYTES))).alias("weight")).withColumn("tiles", F.ceil(F.col("weight") / TILE_BYTES).cast("int"))
+    small = weights.filter("tiles = 1").agg(F.sum("weight")).first()[0] or 0
+    bins = F.lit(-(-small // TILE_BYTES) or 1)
+    place = F.when(F.col("tiles") > 1, F.col("family")).otherwise(-1 - F.pmod(F.xxhash64("family"), bins))
+    return rows.join(weights, "family").select(place.alias("family"), F.pmod(F.xxhash64("row"), "tiles").cast("int").alias("tile"), "tiles", "row", "label", "outer", "sketch")
+
+
+def links_outside(inside: DataFrame, blocks: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links a, b of rows outside their split bucket's largest group with rows of other groups of their family."""
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.sort_by("row")
+        row, label, n, tile, outer = (t.column(c).to_numpy() for c in ("row", "label", "n", "tile", "outer"))
+        bits = matrix(t.column("bits"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+        apart = t.column("low")[0].as_py() != t.column("high")[0].as_py()
+        joined: dict[int, int] = {}
+
+        def group(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
         found_a, found_b = [], []
-        if len(block) and len(sent):
-            base = block.column("block")[0].as_py() << PLACE_BITS
-            rows = block.column("rows").combine_chunks().values
-            place, label, n = (rows.field(c).to_numpy() for c in ("place", "label", "n"))
-            bits = block.column("bits").combine_chunks().values.values.to_numpy().view(np.uint64).reshape(len(place), -1)
-            hopes = []
-            for la, na, ba in zip(sent.column("label").to_pylist(), sent.column("n").to_pylist(), sent.column("bits")):
-                x = bits ^ ba.values.to_numpy().view(np.uint64)[None, :]
-                x |= x >> np.uint64(1)
-                x |= x >> np.uint64(2)
-                unlike = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1)
-                score = (1 - unlike / MINIMA - 1 / 16) / (1 - 1 / 16)
-                hopes.append(np.flatnonzero((label != la) & (100 * np.minimum(n, na) >= percent * np.maximum(n, na)) & (score >= percent / 100 - SLACK)))
-            need = np.unique(np.concatenate(hopes))
-            if len(need):
-                own = dict(zip(need.tolist(), shingle_sets(block.column("payload")[0].as_buffer(), size, place[need].tolist())[1]))
-                for a, packed, hope in zip(sent.column("a").to_pylist(), sent.column("shingles"), hopes):
-                    y = np.frombuffer(packed.as_buffer(), np.uint64)
-                    seen: set[int] = set()
-                    for i in hope.tolist():
-                        # One link to each group is enough.
-                        if label[i] not in seen and alike(own[i], y, percent):
-                            seen.add(label[i])
-                            found_a.append(a)
-                            found_b.append(base + int(place[i]))
+        for a in np.flatnonzero(outer).tolist():
+            could = (label != label[a]) & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a]))
+            could[:a] &= ~outer[:a]  # two outside rows are compared once
+            if apart:
+                could &= tile != tile[a]
+            near = np.flatnonzero(could)
+            unlike = unlike_minima(bits[near], bits[a])
+            hope = promising(unlike, percent)
+            for b in near[hope][np.argsort(unlike[hope], kind="stable")].tolist():
+                # One link between two groups is enough.
+                u, v = group(int(label[a])), group(int(label[b]))
+                if u != v and alike(sets[a], sets[b], percent):
+                    joined[u] = v
+                    found_a.append(row[a])
+                    found_b.append(row[b])
         give_back()
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
-    return durable(held.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(meet, "a long, b long"))
+    placed = durable(meetings(inside, percent))
+    sets = sets_of(placed.select("row"), blocks, size)
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    sent = placed.join(sets, "row").select("family", "tile", other, "row", "label", "outer", F.col("sketch.n").alias("n"), F.col("sketch.bits").alias("bits"), "shingles")
+    sent = sent.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")}).drop("other")
+    return durable(sent.groupBy("family", "low", "high").applyInArrow(meet, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -293,12 +362,9 @@ def grouped(docs: DataFrame, size: int, percent: int, whole: bool = False) -> tu
     shared = banded.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").select("key", "first")
     members = durable(banded.join(shared, "key").select("key", "row", "first"))
     groups = durable(members.select("row", F.col("row").alias("label")).distinct())
-    # Sets whose sizes differ too much cannot be alike, whatever the estimate.
-    sizes_fit = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    likely = sizes_fit & (estimate(F.col("x.bits"), F.col("y.bits")) >= percent / 100 - SLACK)
     star = members.filter("row > first").select(F.col("row").alias("a"), F.col("first").alias("b")).distinct()
     sketch = lambda c, to: reps.select(F.col("row").alias(c), F.col("sketch").alias(to))
-    star = star.join(sketch("a", "x"), "a").join(sketch("b", "y"), "b").filter(likely)
+    star = star.join(sketch("a", "x"), "a").join(sketch("b", "y"), "b").filter(likely(percent))
     star = star.select("a", "b", estimate(F.col("x.bits"), F.col("y.bits")).alias("score"))
     groups = settled(groups, durable(star), blocks, size, percent, (1, None))
     # Buckets that are still split: first against some of the largest group, which links most, then against all.
@@ -308,7 +374,7 @@ def grouped(docs: DataFrame, size: int, percent: int, whole: bool = False) -> tu
         some = inside.filter("label = top").withColumn("turn", turn).filter(F.col("turn") <= RELAYS)
         x = inside.filter("label <> top").select("key", F.col("row").alias("a"), F.col("sketch").alias("x"))
         y = some.select(F.col("key").alias("key_b"), F.col("row").alias("b"), F.col("sketch").alias("y"))
-        relayed = x.join(y, (F.col("key") == F.col("key_b")) & likely).groupBy("a", "b").agg(F.first(estimate(F.col("x.bits"), F.col("y.bits"))).alias("score"))
+        relayed = x.join(y, (F.col("key") == F.col("key_b")) & likely(percent)).groupBy("a", "b").agg(F.first(estimate(F.col("x.bits"), F.col("y.bits"))).alias("score"))
         groups = settled(groups, durable(relayed), blocks, size, percent, (4,))
         inside = split_buckets(members, groups, reps)
         groups = merged(groups, links_outside(inside, blocks, size, percent))

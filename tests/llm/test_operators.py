@@ -112,6 +112,51 @@ def test_minhash_misses():
     assert (1 - 0.8 ** (n // minhash.BANDS)) ** minhash.BANDS < 1e-7
 
 
+@pytest.mark.parametrize("tile", [None, 40_000])
+def test_minhash_family_over_many_blocks(spark, monkeypatch, tile):
+    """Each set of a family goes to where it meets, not to each of its blocks; in tiles, all pairs still meet."""
+    if tile:
+        monkeypatch.setattr(minhash, "TILE_BYTES", tile)
+        monkeypatch.setattr(minhash, "PART_ROWS", 16)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(96):
+        text = [f"w{k}" for k in range(300)]
+        for k in rng.choice(300, int(rng.integers(2, 40)), replace=False):
+            text[k] = f"x{i}_{k}" if k % 2 else f"y{k}"
+        rows.append((i, " ".join(text)))
+    blocks = minhash.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(24), 24)
+    minhash._parts.set(24)
+    reps = minhash.features(blocks, 5).select("row", "doc_id", F.struct("bits", F.col("n_shingles").alias("n")).alias("sketch")).cache()
+    least = reps.agg(F.min("row")).first()[0]
+    inside = minhash.durable(reps.select(F.lit(1).cast("long").alias("key"), "row", "sketch", F.col("row").alias("label"), F.lit(least).alias("top")))
+    assert blocks.count() > 20
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in map(store.apply, range(store.size()))}
+    status = spark.sparkContext._jsc.sc().statusStore()
+    listed = lambda: status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    store = listed()
+    before = stages()
+    found = minhash.links_outside(inside, blocks, 5, 80).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = listed()
+    moved = sum(n for k, n in stages().items() if k not in before)
+    if not tile:
+        assert moved < 5 * 96 * 296 * 8
+    ids = {r["row"]: r["doc_id"] for r in reps.collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split(" ") for _, t in rows)]
+    alike = {(a, b) for a in range(96) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    links = {tuple(sorted((ids[r["a"]], ids[r["b"]]), reverse=True)) for r in found}
+
+    def groups(pairs):
+        label = list(range(96))
+        for a, b in pairs:
+            x, y = label[a], label[b]
+            label = [min(x, y) if z in (x, y) else z for z in label]
+        return label
+
+    assert links <= alike and groups(links) == groups(alike) and 1 < len(set(groups(alike))) < 96
+
+
 def test_quality(docs):
     got = rows_of(quality.judge(docs), *quality.COUNTS[:5], "base_failed", "kept")
     for i, t, *_ in ROWS:
