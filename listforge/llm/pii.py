@@ -270,13 +270,14 @@ def entities(text: str) -> Iterator[tuple[str, int, int]]:
                 yield kind, begin, end
 
 
-def replaced(p: Permutation, text: str, pairs: set[tuple[str, str, str]]) -> tuple[str, int]:
-    """The text with surrogates, and how many; (kind, entity, surrogate), both in canonical spelling, go into pairs."""
+def replaced(p: Permutation, text: str, pairs: set[tuple[str, str, str]] | None = None) -> tuple[str, int]:
+    """The text with surrogates, and how many; (kind, entity, surrogate), both in canonical spelling, go into pairs, if given."""
     out, done, n = [], 0, 0
     for kind, begin, end in entities(text):
         entity = text[begin:end]
         new = surrogate(p, kind, entity)
-        pairs.add((kind, canonical(kind, entity), canonical(kind, new)))
+        if pairs is not None:
+            pairs.add((kind, canonical(kind, entity), canonical(kind, new)))
         out += [text[done:begin], new]
         done, n = end, n + 1
     return ("".join([*out, text[done:]]), n) if n else (text, 0)
