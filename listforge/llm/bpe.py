@@ -53,6 +53,8 @@ LONG = 128
 CHUNK_WORDS = 1024
 #: Longer texts are cut into words one at a time.
 LONG_TEXT = 1 << 20
+#: Words whose ids are put together at a time.
+PART_WORDS = 1 << 18
 #: Token numbers have so many bits at most; a pair of them and its rank share a long.
 MOST_BITS = 20
 
@@ -197,10 +199,10 @@ def _planes(x: np.ndarray) -> bytes:
 
 
 def _unplaned(buffer) -> np.ndarray:
-    out = np.zeros(len(buffer) // 4, np.int32)
+    out = np.empty((len(buffer) // 4, 4), np.uint8)
     for s, plane in enumerate(np.frombuffer(buffer, np.uint8).reshape(4, -1)):
-        out |= plane.astype(np.int32) << 8 * s
-    return out
+        out[:, s] = plane
+    return out.view("<i4").ravel()
 
 
 def by_count(often: np.ndarray) -> np.ndarray:
@@ -338,8 +340,11 @@ def met_words(blocks: DataFrame, parts: int, regions: int, unreached: frozenset[
     return sent.repartition(parts, "key").groupBy("key").applyInArrow(meet, "bucket int, refs binary, words array<array<smallint>>, long string")
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers, packed) of every row of docs."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit integers, packed) of every row of docs; decoded: and text, as decode() gives it.
+
+    Decoding where the ids are put together saves a second Python worker a task, and the memory that it takes.
+    """
     small_batches(docs.sparkSession)
     # The rank map is a literal of megabytes: plans are not to be printed with all of it.
     conf, name = docs.sparkSession.conf, "spark.sql.maxPlanStringLength"
@@ -372,7 +377,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     # Checkpointed: the fold is the dearest step, and the literal stays out of all later plans.
     coded = dealt(coded.mapInArrow(trimmed(back), "block long, bucket int, at int, packed binary"), parts, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "at", "packed"))).alias("coded"))
 
+    by_rank = pieces_of(ranks) if decoded else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pa.array(by_rank, pa.binary())
         for batch in batches:
             for payload, packed in zip(batch.column(0), batch.column(1)):
                 own = unpack(payload.as_buffer())
@@ -383,40 +391,50 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                 n = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(p.column("n")[0].as_buffer(), np.uint32) for p in parts_)]).astype(np.int64)
                 lengths, starts = n[order], np.concatenate([[0], np.cumsum(n)])[order]
                 doc_ids, ends = docs_.column("doc_id").combine_chunks(), np.cumsum(docs_.column("n").to_numpy())
-                # Some documents at a time, of about a million words, or one longer.
+                # Some documents at a time, of some PART_WORDS words, or one longer.
                 a, begin = 0, 0
                 while a < len(ends):
-                    z = max(a + 1, int(np.searchsorted(ends, begin + (1 << 20))))
+                    z = max(a + 1, int(np.searchsorted(ends, begin + PART_WORDS)))
                     part = numbers[begin : ends[z - 1]]
                     index, _ = ragged(starts[part], lengths[part])
                     words_at = np.concatenate([[0], np.cumsum(lengths[part])])
                     bounds = words_at[np.concatenate([[0], ends[a:z] - begin])]
                     data = ids[index]
                     out = pa.array([data[i:j].tobytes() for i, j in zip(bounds, bounds[1:])], pa.binary())
-                    yield pa.RecordBatch.from_arrays([doc_ids.slice(a, z - a), out], ["doc_id", "ids"])
+                    texts = [pa.array([joined(x, pieces) for x in out], pa.binary())] if decoded else []
+                    yield pa.RecordBatch.from_arrays([doc_ids.slice(a, z - a), out, *texts], ["doc_id", "ids", *["text"] * decoded])
                     a, begin = z, int(ends[z - 1])
 
     give_back()  # the driver's memory too
-    return blocks.join(coded, "block", "left").select("payload", "coded").mapInArrow(trimmed(run), "doc_id long, ids binary")
+    return blocks.join(coded, "block", "left").select("payload", "coded").mapInArrow(trimmed(run), "doc_id long, ids binary" + ", text binary" * decoded)
 
 
-def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """doc_id, ids and text (binary): the ids' byte strings, concatenated."""
-    small_batches(coded.sparkSession)
+def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
+    """Byte string of each id."""
     by_rank = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         by_rank[rank] = piece
+    return by_rank
+
+
+def joined(ids: pa.Scalar, pieces: pa.Array) -> bytes:
+    """The packed ids' byte strings, concatenated."""
+    numbers, out = np.frombuffer(ids.as_buffer(), "<u4"), []
+    for i in range(0, len(numbers), 1 << 20):
+        taken = pieces.take(pa.array(numbers[i : i + (1 << 20)]))  # one buffer: the pieces side by side
+        out.append(taken.buffers()[2].to_pybytes() if taken.buffers()[2] else b"")
+    return b"".join(out)
+
+
+def decode(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """doc_id, ids and text (binary): the ids' byte strings, concatenated."""
+    small_batches(coded.sparkSession)
+    by_rank = pieces_of(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pa.array(by_rank, pa.binary())
         for batch in batches:
-            texts = []
-            for ids in batch.column(1):
-                numbers, joined = np.frombuffer(ids.as_buffer(), "<u4"), []
-                for i in range(0, len(numbers), 1 << 20):
-                    taken = pieces.take(pa.array(numbers[i : i + (1 << 20)]))  # one buffer: the pieces side by side
-                    joined.append(taken.buffers()[2].to_pybytes() if taken.buffers()[2] else b"")
-                texts.append(b"".join(joined))
+            texts = [joined(ids, pieces) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "text"])
 
     return coded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, ids binary, text binary")
