@@ -211,7 +211,7 @@ def matrix(bits: pa.ChunkedArray) -> np.ndarray:
 
 
 def families(inside: DataFrame, percent: int) -> DataFrame:
-    """node, label: groups that have likely pairs in a split bucket, and the family of each. inside: see split_buckets.
+    """node, label: groups joined by likely pairs in split buckets, and the family of each. inside: see split_buckets.
 
     A bucket's members are dealt into parts; its outside rows go to each part.
     """
@@ -221,18 +221,22 @@ def families(inside: DataFrame, percent: int) -> DataFrame:
         key, part, label, n, outer, own = (t.column(c).to_numpy() for c in ("key", "part", "label", "n", "outer", "own"))
         bits = matrix(t.column("bits"))
         cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]), True])
-        found = [np.zeros((0, 2), np.int64)]
+        names, at = np.unique(label, return_inverse=True)
+        root = np.arange(len(names))  # groups with a likely pair so far have one root: what leaves is no more than a link for each group
         for a, z in zip(cuts, cuts[1:]):
             x, y = a + np.flatnonzero(outer[a:z]), a + np.flatnonzero(own[a:z])
             for i in range(0, len(x), 64):
-                left, right = np.nonzero((label[x[i : i + 64], None] != label[y]) & (100 * np.minimum(n[x[i : i + 64], None], n[y]) >= percent * np.maximum(n[x[i : i + 64], None], n[y])))
+                some = x[i : i + 64, None]
+                left, right = np.nonzero((root[at[some]] != root[at[y]]) & (100 * np.minimum(n[some], n[y]) >= percent * np.maximum(n[some], n[y])))
                 left, right = x[i + left], y[right]
                 hope = promising(unlike_minima(bits[left], bits[right]), percent)
-                ends = np.stack([label[left[hope]], label[right[hope]]], axis=1)
-                found.append(np.unique(np.sort(ends, axis=1), axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0)
+                for pair in np.unique(at[left[hope]] * len(names) + at[right[hope]]).tolist():
+                    u, v = root[pair // len(names)], root[pair % len(names)]
+                    if u != v:
+                        root[root == max(u, v)] = min(u, v)
+        linked = np.flatnonzero(root != np.arange(len(names)))
         give_back()
-        return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
+        return pa.table({"u": pa.array(names[root[linked]], pa.int64()), "v": pa.array(names[linked], pa.int64())})
 
     parts = inside.groupBy("key").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
     sent = inside.join(parts, "key").withColumns({"outer": F.col("label") != F.col("top"), "at": F.pmod(F.xxhash64("row"), "parts").cast("int")})

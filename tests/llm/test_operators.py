@@ -142,6 +142,10 @@ def test_minhash_family_over_many_blocks(spark, monkeypatch, tile):
     moved = sum(n for k, n in stages().items() if k not in before)
     if not tile:
         assert moved < 5 * 96 * 296 * 8
+    made = []
+    monkeypatch.setattr(minhash, "components", lambda edges: made.append(edges) or edges)
+    minhash.families(inside, 80)
+    assert made[0].count() < 3 * 96  # a few links for each group, not all pairs
     ids = {r["row"]: r["doc_id"] for r in reps.collect()}
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split(" ") for _, t in rows)]
     alike = {(a, b) for a in range(96) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
