@@ -6,6 +6,9 @@ empty match is null. Python's Unicode blanks are matched with ``(?U)``.
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
 import sys
 import unicodedata
 from collections.abc import Callable, Sequence
@@ -16,9 +19,69 @@ from pyspark.sql import functions as F
 from listforge.plans import rules
 
 
-def first(c: Column, pattern: str, group: int = 1, flags: str = "") -> Column:
-    """Group of the first match, null if there is none or it is empty."""
-    return let(F.regexp_extract(c, flags + pattern, group), lambda m: F.nullif(m, F.lit("")))
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TOKEN = re.compile(r"(\\.|\[(?:\\.|[^\]\\])+\]|\(\?:|.)((?:[?*+]|\{\d*,?\d*\})[?+]?)?", re.S)
+
+
+@functools.cache
+def needles(pattern: str) -> frozenset[str]:
+    """Texts, in lower case, one of which is in all that the pattern matches; none where that isn't told."""
+    if re.search(r"\(\?[^:]|\\[pPxuQkNc0-9]", pattern):
+        return frozenset()
+    tokens = _TOKEN.findall(pattern)[::-1]
+    least = lambda texts: min(map(len, texts), default=0)
+
+    def alternatives() -> tuple[frozenset[str], str]:
+        """What the tokens up to the closing bracket ask for, and that bracket's quantifier."""
+        found, here, run = [], [], ""
+        while True:
+            token, times = tokens.pop() if tokens else (")", "")
+            plain = token[-1] if len(token) == 1 and token not in ".^$|()" or token[0] == "\\" and not token[1].isalnum() else ""
+            if token in ("(", "(?:"):
+                inner, times = alternatives()
+            else:
+                inner = frozenset()
+            optional = times[:1] in ("?", "*") or times.startswith(("{0", "{,"))
+            if plain and not optional and (plain.isascii() or plain.lower() == plain.upper()):
+                run += plain.lower()
+                if not times:
+                    continue
+            here += [frozenset([run])] if run else []
+            here += [inner] if inner and not optional else []
+            run = ""
+            if token in ("|", ")"):
+                found.append(max(here, key=least, default=frozenset()))
+                here = []
+            if token == ")":
+                return frozenset().union(*found) if all(found) else frozenset(), times
+
+    return alternatives()[0]
+
+
+def folded(c: Column) -> Column:
+    """c with ASCII letters in lower case, also the four characters that (?iu) takes for some of them: what needles are looked up in."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER + "\u017f\u0131\u0130\u212a", LOWER + "siik"))
+
+
+def may_match(low: Column, *patterns: str) -> Column:
+    """False only where none of the patterns matches the text of which low is the folded form: byte searches, far cheaper than patterns."""
+    wanted = [needles(p) for p in patterns]
+    if not all(wanted):
+        return F.lit(True)
+    some = frozenset().union(*wanted)
+    return functools.reduce(operator.or_, [low.contains(n) for n in sorted(some) if not any(m != n and m in n for m in some)])
+
+
+def matches(c: Column, pattern: str, low: Column | None = None) -> Column:
+    """Whether the pattern, which ignores case, is found in c; low, if given, is c folded."""
+    found = c.rlike("(?iu)" + pattern)
+    return found if low is None else may_match(low, pattern) & found
+
+
+def first(c: Column, pattern: str, group: int = 1, flags: str = "", low: Column | None = None) -> Column:
+    """Group of the first match, null if there is none or it is empty; low, if given, is c folded."""
+    found = let(F.regexp_extract(c, flags + pattern, group), lambda m: F.nullif(m, F.lit("")))
+    return found if low is None else F.when(may_match(low, pattern), found)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -26,15 +89,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def first_of(c: Column, patterns: Sequence[str], flags: str = "(?iu)") -> Column:
-    return F.coalesce(*[first(c, p, 1, flags) for p in patterns])
+def pinned(value: Column) -> Column:
+    """value, evaluated once where it stands: filters on it aren't pushed below, where each would work it out anew, maybe before rows are spread over tasks."""
+    return F.when(F.spark_partition_id() >= 0, value)  # not deterministic by Spark's rules
+
+
+def first_of(c: Column, patterns: Sequence[str], flags: str = "(?iu)", low: Column | None = None) -> Column:
+    return F.coalesce(*[first(c, p, 1, flags, low) for p in patterns])
 
 
-def case_of(c: Column, ordered: Sequence[tuple[str, str]], flags: str = "(?iu)") -> Column:
-    """Label of the first rule that matches, else the empty string."""
+def case_of(c: Column, ordered: Sequence[tuple[str, str]], low: Column | None = None) -> Column:
+    """Label of the first rule that matches, else the empty string; low, if given, is c folded."""
     out = F.lit("")
     for pattern, label in reversed(ordered):
-        out = F.when(c.rlike(flags + pattern), label).otherwise(out)
+        out = F.when(matches(c, pattern, low), label).otherwise(out)
     return out
 
 

@@ -17,53 +17,74 @@ _MONEY = r"(U\$S|US\$|USD|ARS|AR\$|UYU|\$U|\$)?"
 _AREA = r"(\d+(?:[.,]\d+)?)\s*(?:m2|m²|mts2|metros)"
 
 
-def price(text: Column, json_price: Column, json_currency: Column, country: Column) -> Column:
-    """struct(original, currency, usd) of the structured price, else of the first pattern with an amount; null if none."""
+def price(text: Column, json_price: Column, json_currency: Column, country: Column, low: Column | None = None) -> Column:
+    """struct(original, currency, usd) of the structured price, else of the first pattern with an amount; null if none. Here and below low is text folded, if given."""
 
     def made(amount: Column, currency: Column) -> Column:
         return S.let(amount, lambda a: F.when(a > 0, F.struct(a.alias("original"), currency.alias("currency"), S.to_usd(a, currency, country).alias("usd"))))
 
     own = made(S.parse_price(F.nullif(json_price, F.lit(""))), F.upper(F.coalesce(F.nullif(json_currency, F.lit("")), F.lit("USD"))))
-    return F.coalesce(own, *[made(S.parse_price(F.regexp_extract(text, "(?iu)" + p, 1)), F.lit(c)) for p, c in rules.PRICES])
+    return F.coalesce(own, *[gated(low, p, made(S.parse_price(F.regexp_extract(text, "(?iu)" + p, 1)), F.lit(c))) for p, c in rules.PRICES])
 
 
-def expenses(text: Column, country: Column, price_original: Column, price_usd: Column) -> Column:
+def gated(low: Column | None, pattern: str, value: Column) -> Column:
+    """value, which is null wherever the pattern isn't found; it is only looked for where it may be."""
+    return value if low is None else F.when(S.may_match(low, pattern), value)
+
+
+def expenses(text: Column, country: Column, price_original: Column, price_usd: Column, low: Column | None = None) -> Column:
     tries = []
-    for p in (rf"(?iu)(?:expensas|gastos\s+comunes)[^\d$U]{{0,30}}{_MONEY}\s*([\d.,]+)", rf"(?iu){_MONEY}\s*([\d.,]+)\s*(?:de\s*)?(?:expensas|gastos\s+comunes)"):
-        currency, amount = F.upper(F.coalesce(S.first(text, p, 1), F.lit("$"))), S.parse_price(F.regexp_extract(text, p, 2))
+    for p in (rf"(?:expensas|gastos\s+comunes)[^\d$U]{{0,30}}{_MONEY}\s*([\d.,]+)", rf"{_MONEY}\s*([\d.,]+)\s*(?:de\s*)?(?:expensas|gastos\s+comunes)"):
+        currency, amount = F.upper(F.coalesce(S.first(text, p, 1, "(?iu)"), F.lit("$"))), S.parse_price(F.regexp_extract(text, "(?iu)" + p, 2))
         made = S.let(F.struct(amount.alias("original"), currency.alias("currency")), lambda m: F.struct(m["original"].alias("original"), m["currency"].alias("currency"), S.to_usd(m["original"], m["currency"], country).alias("usd")))
-        tries.append(S.let(made, lambda m: F.when((m["original"] >= 100) & ~(m["original"].eqNullSafe(price_original) | m["usd"].eqNullSafe(price_usd)), m)))
+        tries.append(gated(low, p, S.let(made, lambda m: F.when((m["original"] >= 100) & ~(m["original"].eqNullSafe(price_original) | m["usd"].eqNullSafe(price_usd)), m))))
     return F.coalesce(*tries)
 
 
-def area(text: Column, labels: tuple[str, ...]) -> Column:
+def area(text: Column, labels: tuple[str, ...], low: Column | None = None) -> Column:
     any_ = "|".join(labels)
-    return S.parse_int(F.coalesce(S.first(text, rf"(?:{any_})[^\d]{{0,25}}{_AREA}", 1, "(?iu)"), S.first(text, rf"{_AREA}[^\n.]{{0,25}}(?:{any_})", 1, "(?iu)")))
+    return number(text, low, rf"(?:{any_})[^\d]{{0,25}}{_AREA}", rf"{_AREA}[^\n.]{{0,25}}(?:{any_})")
+
+
+def number(text: Column, low: Column | None, *patterns: str) -> Column:
+    """The whole number that the first pattern with a match holds."""
+    found = S.parse_int(S.first_of(text, patterns, low=low))
+    return found if low is None else F.when(S.may_match(low, *patterns), found)
 
 
 def counts_and_areas(df: DataFrame) -> DataFrame:
+    """df with the numbers that its text states; _low is text folded, if df has it. All of them are in one let, see flag_array."""
     text = F.col("text")
-    found = {c: S.parse_int(S.first_of(text, p)) for c, p in rules.COUNTS.items()} | {c: area(text, labels) for c, labels in rules.AREAS.items()}
-    any_area = S.parse_int(S.first(text, _AREA, 1, "(?iu)"))
-    found["covered_area_sqm"] = S.let(found["covered_area_sqm"], lambda own: F.when(own != 0, own).otherwise(F.coalesce(any_area, own)))
-    return df.withColumns(found)
+
+    def found(low: Column) -> Column:
+        values = {c: number(text, low, *p) for c, p in rules.COUNTS.items()} | {c: area(text, labels, low) for c, labels in rules.AREAS.items()}
+        values["covered_area_sqm"] = S.let(values["covered_area_sqm"], lambda own: F.when(own != 0, own).otherwise(F.coalesce(number(text, low, _AREA), own)))
+        return F.struct(*[v.alias(c) for c, v in values.items()])
+
+    df = df.withColumn("_counts", S.let(F.col("_low") if "_low" in df.columns else S.folded(text), found))
+    return df.withColumns({c: F.col(f"_counts.{c}") for c in (*rules.COUNTS, *rules.AREAS)}).drop("_counts")
 
 
 def property_type(url: Column, title: Column, text: Column) -> Column:
     return S.case_of(F.concat_ws(" ", url, title, F.substring(text, 1, rules.TYPE_SAMPLE_CHARS)), rules.PROPERTY_TYPES)
 
 
-def orientation(text: Column) -> Column:
-    return F.upper(S.first(text, r"orientaci[oó]n[^\w]{0,10}(norte|sur|este|oeste|ne|no|se|so|n|s|e|o)", 1, "(?iu)"))
+def orientation(text: Column, low: Column | None = None) -> Column:
+    return F.upper(S.first(text, r"orientaci[oó]n[^\w]{0,10}(norte|sur|este|oeste|ne|no|se|so|n|s|e|o)", 1, "(?iu)", low))
 
 
-def distance_to_sea(text: Column) -> Column:
-    return S.parse_int(F.coalesce(S.first(text, r"distancia\s+al\s+mar[^\d]{0,20}(\d+)", 1, "(?iu)"), S.first(text, r"(\d+)\s*cuadras?\s+(?:del|al)\s+mar", 1, "(?iu)")))
+def distance_to_sea(text: Column, low: Column | None = None) -> Column:
+    return number(text, low, r"distancia\s+al\s+mar[^\d]{0,20}(\d+)", r"(\d+)\s*cuadras?\s+(?:del|al)\s+mar")
 
 
-def flags(text: Column) -> list[Column]:
+def flags(text: Column, low: Column | None = None) -> list[Column]:
     """One 0/1 column for each flag rule."""
-    return [text.rlike("(?iu)" + p).cast("int").alias(c) for c, p in rules.FLAG_PATTERNS.items()]
+    return [S.matches(text, p, low).cast("int").alias(c) for c, p in rules.FLAG_PATTERNS.items()]
+
+
+def flag_array(text: Column, low: Column) -> Column:
+    """The values of all flag rules. The body of a let is evaluated as a tree: generated code for so many patterns is one method too long for the JVM to compile."""
+    return S.let(low, lambda found: F.array(*flags(text, found)))
 
 
 def locate(df: DataFrame) -> DataFrame:
@@ -140,15 +161,15 @@ def stamped(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """The wide rows of all pages with a usable price: base columns, then 97 flags."""
     c = F.col
-    rows = pages.withColumn("_price", price(c("text"), c("json_price"), c("json_currency"), c("country"))).filter("_price is not null and (_price.usd = 0 or _price.usd >= %d)" % rules.MIN_SALE_USD_PAGES)
+    rows = pages.withColumn("_low", S.folded(c("text")))
+    rows = rows.withColumn("_price", S.pinned(S.let(c("_low"), lambda low: price(c("text"), c("json_price"), c("json_currency"), c("country"), low)))).filter("_price is not null and (_price.usd = 0 or _price.usd >= %d)" % rules.MIN_SALE_USD_PAGES)
     about = F.concat_ws(" ", "title", "description")
-    rows = rows.withColumns({"price_original": c("_price.original"), "price_currency": c("_price.currency"), "price_usd": c("_price.usd"), "property_type": property_type(c("url"), c("title"), c("text")), "property_subtype": S.case_of(about, rules.SUBTYPES), "construction_stage": S.case_of(about, rules.STAGES), "publication_type": S.case_of(about, rules.PUBLICATIONS), "orientation": orientation(c("text")), "distance_to_sea_blocks": distance_to_sea(c("text"))})
+    rows = rows.withColumns({"price_original": c("_price.original"), "price_currency": c("_price.currency"), "price_usd": c("_price.usd"), "property_type": property_type(c("url"), c("title"), c("text")), "property_subtype": S.case_of(about, rules.SUBTYPES), "construction_stage": S.case_of(about, rules.STAGES), "publication_type": S.case_of(about, rules.PUBLICATIONS), "orientation": orientation(c("text"), c("_low")), "distance_to_sea_blocks": distance_to_sea(c("text"), c("_low"))})
     rows = rows.withColumn("description", F.substring(S.clean_text(c("description")), 1, rules.DESCRIPTION_CHARS))
-    rows = rows.withColumn("_expenses", expenses(c("text"), c("country"), c("price_original"), c("price_usd"))).withColumns({f"expenses_{x}": c(f"_expenses.{x}") for x in ("original", "currency", "usd")})
+    rows = rows.withColumn("_expenses", S.let(c("_low"), lambda low: expenses(c("text"), c("country"), c("price_original"), c("price_usd"), low))).withColumns({f"expenses_{x}": c(f"_expenses.{x}") for x in ("original", "currency", "usd")})
     rows = locate(counts_and_areas(rows)).withColumn("_near_sea", c("distance_to_sea_blocks").isNotNull())
     rows = rows.withColumns({"latitude": S.parse_number(c("json_latitude")), "longitude": S.parse_number(c("json_longitude"))})
-    # Flags as one array: a stage of over a hundred columns would fall out of code generation.
-    rows = derived(bounded(rows.withColumn("_flags", F.array(*flags(c("text"))))))
+    rows = derived(bounded(rows.withColumn("_flags", flag_array(c("text"), c("_low")))))
     names = list(rules.FLAG_PATTERNS)
     value = {n: F.get(c("_flags"), F.lit(i)) for i, n in enumerate(names)}
     one = lambda cond: F.coalesce(cond, F.lit(False)).cast("int")

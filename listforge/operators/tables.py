@@ -12,6 +12,12 @@ from listforge.functions import scalars as S
 from listforge.plans import rules
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key over as many tasks as a shuffle has. For short rows that much is made of: a file of few MB, or of one row group, is one task however long it takes."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def keep_first(df: DataFrame, key: Sequence[Column | str], order: Sequence[Column | str]) -> DataFrame:
     """The first row, in order, of each key; nulls are equal. A limit on the window's rank prunes before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
@@ -20,7 +26,7 @@ def keep_first(df: DataFrame, key: Sequence[Column | str], order: Sequence[Colum
 
 def listing_key(df: DataFrame) -> Column:
     """Domain and listing id where the URL has one, else the URL and the stable facts."""
-    own = S.listing_id(F.col("source_url"))
+    own = F.coalesce("listing_id", S.listing_id(F.col("source_url"))) if "listing_id" in df.columns else S.listing_id(F.col("source_url"))
     text = lambda c: F.col(c).cast("string")
     facts = [F.when(own == "", text(c)) for c in ("source_url", "price_usd", "covered_area_sqm", "bedrooms", "bathrooms")]
     return F.struct(F.when(own != "", F.col("source_domain")).alias("a"), own.alias("b"), *[f.alias(f"f{i}") for i, f in enumerate(facts)])

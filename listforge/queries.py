@@ -56,7 +56,8 @@ TEXT_SQL = "(select p_partkey as k, " + "concat_ws(' ', " + f"{_LIST}[((p_partke
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), listing_text("p_partkey").alias("text"))
+    keys = tables.spread(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), "k")
+    return keys.select("k", listing_text("k").alias("text"))
 
 
 def rx(c: str, pattern: str, group: int = 1, flags: str = "i") -> str:

@@ -227,3 +227,24 @@ def test_sources_and_sinks(spark, tmp_path):
     io.write_jsonl(rows, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
     assert io.robots_texts(["http://127.0.0.1:9/"], timeout=0.5) == {}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_short_rows_are_spread_before_the_work(spark):
+    from listforge import queries
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    assert queries.texts(spark, DATA).rdd.getNumPartitions() == parts > 1
+    # No pattern is looked for below the exchange that spreads the rows, where a filter would be pushed.
+    plan = queries.queries()["listing_rows"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RepartitionByExpression")
+    assert "regexp_extract" in above and "regexp_extract" not in below
+
+
+def test_gates_leave_no_match_out(spark):
+    assert S.needles(r"(?:expensas|gastos\s+comunes)[^\d$U]{0,30}") == {"expensas", "comunes"} and S.needles(r"a?b*\d+|x") == set() and S.needles(r"(ab)?cd{0,2}e") == {"c"}
+    patterns = [*rules.FLAG_PATTERNS.values(), *[p for ps in (*rules.COUNTS.values(), [p for p, _ in rules.PRICES + rules.PROPERTY_TYPES + rules.SUBTYPES + rules.STAGES + rules.PUBLICATIONS]) for p in ps]]
+    texts = ["Jardín FONDO, BALCÓN al frente, Sótano", "aıre acondİcıonado 24 hs maſcotas", "Kitchen, play room, PLAYA, LOSA  radiante", "3 AMBİENTES, 2 baÑos, 7° pıſo, UſD 9, $u 5", "Á̈tico, DÚPLEX walK-in; superficie 5 M²", "", None]
+    rows = spark.createDataFrame([(x,) for x in texts + [p.replace("\\b", "").replace("\\s+", " ").replace("\\s*", "") for p in patterns]], "x string")
+    both = rows.select(F.array(*[F.col("x").rlike("(?iu)" + p) for p in patterns]).alias("want"), F.array(*[S.matches(F.col("x"), p, S.folded(F.col("x"))) for p in patterns]).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in both) and sum(sum(map(bool, r["want"])) for r in both) > 150
