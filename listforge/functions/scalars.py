@@ -111,30 +111,46 @@ def clean_text(c: Column) -> Column:
 
 
 def _unicode_forms() -> tuple[dict[str, str], dict[str, str], str]:
-    """Characters whose compatibility form, without combining marks, has ASCII letters or digits: of one character, of several; and a class of the marks."""
+    """Characters whose compatibility form, without combining marks, has ASCII letters or digits: of one character, of several; and the marks, and what has a form of marks alone."""
     one, several, marks = {}, {}, []
     for i in range(128, sys.maxunicode + 1):
         c = chr(i)
         if unicodedata.combining(c):
-            if marks and marks[-1][1] == i - 1:
-                marks[-1][1] = i
-            else:
-                marks.append([i, i])
+            marks.append(c)
         elif unicodedata.decomposition(c):
             form = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-            if any(x.isascii() and x.isalnum() for x in form):
+            if not form:
+                marks.append(c)
+            elif any(x.isascii() and x.isalnum() for x in form):
                 (one if len(form) == 1 else several)[c] = form
-    return one, several, "[" + "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in marks) + "]"
+    return one, several, "".join(marks)
+
+
+def _ranges(chars: Sequence[str], gap: int) -> str:
+    """A class of these characters and of those between two that are at most gap apart."""
+    spans: list[list[int]] = []
+    for i in sorted(map(ord, chars)):
+        if spans and i - spans[-1][1] <= gap:
+            spans[-1][1] = i
+        else:
+            spans.append([i, i])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in spans) + "]"
 
 
 _ONE, _SEVERAL, _MARKS = _unicode_forms()
+#: A few ranges with all of _SEVERAL, for characters beyond ASCII alone: a class of 400 single characters is tried one by one for each character of a text.
+_NEAR_SEVERAL = rf"[\x{{80}}-\x{{{sys.maxunicode:X}}}&&{_ranges(list(_SEVERAL), 8)}]"
 
 
 def norm_key(c: Column) -> Column:
     """Lower-case ASCII letters and digits of the compatibility form without marks, anything else one underscore."""
-    forms = F.array(*[F.struct(F.lit(k).alias("a"), F.lit(v).alias("b")) for k, v in _SEVERAL.items()])
-    spelled = F.when(c.rlike("[" + "".join(_SEVERAL) + "]"), F.aggregate(forms, c, lambda text, f: F.replace(text, f["a"], f["b"]))).otherwise(c)
-    plain = F.regexp_replace(F.translate(spelled, "".join(_ONE), "".join(_ONE.values())), _MARKS, "")
+    forms = F.create_map(*[F.lit(x) for kv in _SEVERAL.items() for x in kv])
+    # Only the characters that the text has are replaced. Their forms hold none of them, so the order is no matter.
+    present = F.array_distinct(F.regexp_extract_all(c, F.lit(_NEAR_SEVERAL), 0))
+    spelled = F.when(c.rlike(_NEAR_SEVERAL), F.aggregate(present, c, lambda text, x: F.replace(text, x, F.coalesce(F.try_element_at(forms, x), x)))).otherwise(c)
+    # What translate has no counterpart for goes: the marks.
+    plain = F.translate(spelled, "".join(_ONE) + _MARKS, "".join(_ONE.values()))
+    plain = F.when(F.octet_length(c) == F.length(c), c).otherwise(plain)  # ASCII is its own form
     return F.coalesce(F.btrim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "_"), F.lit("_")), F.lit(""))
 
 

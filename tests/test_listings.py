@@ -229,6 +229,16 @@ def test_sources_and_sinks(spark, tmp_path):
     assert io.robots_texts(["http://127.0.0.1:9/"], timeout=0.5) == {}
 
 
+def test_norm_key_of_rare_characters(spark):
+    """A mark that has a form of marks alone goes as well, and the class that is tried for each character is a few ranges that leave nothing out."""
+    import re
+
+    assert values(spark, ["a\uff9eb", "\u0f73x", "½½ ㏂ Ǆ ß™", "İK"], S.norm_key) == ["ab", "x", "1_21_2_a_m_dz_tm", "ik"]
+    near = re.findall(r"x\{(\w+)\}-", S._NEAR_SEVERAL.split("&&")[1])
+    spans = [[int(x, 16) for x in r] for r in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", S._NEAR_SEVERAL.split("&&")[1])]
+    assert len(near) < 60 and all(any(a <= ord(c) <= z for a, z in spans) for c in S._SEVERAL)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_short_rows_are_spread_before_the_work(spark):
     from listforge import queries
