@@ -217,7 +217,8 @@ def types_and_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select k, " + ", ".join(f"cast(regexp_matches(text, {quoted(p)}, 'i') as int) as {c}" for c, p in rules.FLAG_PATTERNS.items()) + f" from {TEXT_SQL}")
 def flags_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("k", *listing.flags(F.col("text")))
+    found = texts(spark, sf_dir).select("k", listing.flag_array(F.col("text"), S.folded(F.col("text"))).alias("found"))
+    return found.select("k", *[F.get("found", F.lit(i)).alias(c) for i, c in enumerate(rules.FLAG_PATTERNS)])
 
 
 _COUNTED = [c for c in rules.FLAG_PATTERNS if c.startswith("has_") and c not in rules.NOT_COUNTED]

@@ -258,3 +258,12 @@ def test_gates_leave_no_match_out(spark):
     rows = spark.createDataFrame([(x,) for x in texts + [p.replace("\\b", "").replace("\\s+", " ").replace("\\s*", "") for p in patterns]], "x string")
     both = rows.select(F.array(*[F.col("x").rlike("(?iu)" + p) for p in patterns]).alias("want"), F.array(*[S.matches(F.col("x"), p, S.folded(F.col("x"))) for p in patterns]).alias("got")).collect()
     assert all(r["want"] == r["got"] for r in both) and sum(sum(map(bool, r["want"])) for r in both) > 150
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", ["flags_wide", "flag_count", "expenses_extract", "counts_areas", "price_extract"])
+def test_patterns_are_gated_above_the_spread(spark, name):
+    from listforge import queries
+
+    above, below = queries.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
+    assert "Contains(" in above and not any(x in below for x in ("RLIKE", "regexp_extract"))
