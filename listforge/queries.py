@@ -227,7 +227,7 @@ _COUNTED = [c for c in rules.FLAG_PATTERNS if c.startswith("has_") and c not in
 @query("select k, " + " + ".join(f"cast(regexp_matches(text, {quoted(rules.FLAG_PATTERNS[c])}, 'i') as int)" for c in _COUNTED) + f" as amenity_count, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) as words from {TEXT_SQL}")
 def flag_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("text")
-    return texts(spark, sf_dir).select("k", sum((x.rlike("(?iu)" + rules.FLAG_PATTERNS[c]).cast("int") for c in _COUNTED), F.lit(0)).alias("amenity_count"), S.word_runs(x).cast("long").alias("words"))
+    return texts(spark, sf_dir).select("k", S.let(S.folded(x), lambda low: sum((S.matches(x, rules.FLAG_PATTERNS[c], low).cast("int") for c in _COUNTED), F.lit(0))).alias("amenity_count"), S.word_runs(x).cast("long").alias("words"))
 
 
 _AREA, _AGE, _FLOOR, _BED = "cast(l_quantity * 60 as bigint)", "cast(l_suppkey * 3 as bigint)", "cast(l_linenumber * 2 - 2 as bigint)", "cast(l_partkey % 14 as bigint)"
