@@ -190,7 +190,8 @@ def _price_case(i: int) -> str:
 @query(f"with x as (select k, text, {_price_case(0)} as p from {TEXT_SQL}) select k, p.amount as price_original, p.currency as price_currency, case when p.currency in ('ARS', '$') then cast(round_even(p.amount/1500.0::double, 0) as bigint) else p.amount end as price_usd from x where p is not null")
 def price_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
-    rows = texts(spark, sf_dir).select("k", listing.price(F.col("text"), none, none, F.lit("AR")).alias("p")).filter("p is not null")
+    x = F.col("text")
+    rows = texts(spark, sf_dir).select("k", S.pinned(S.let(S.folded(x), lambda low: listing.price(x, none, none, F.lit("AR"), low))).alias("p")).filter("p is not null")
     return rows.select("k", F.col("p.original").alias("price_original"), F.col("p.currency").alias("price_currency"), F.col("p.usd").alias("price_usd"))
 
 
@@ -308,8 +309,8 @@ def _expenses_sql(i: int) -> str:
 )
 def expenses_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, none = F.col("text"), F.lit(None).cast("string")
-    rows = texts(spark, sf_dir).withColumn("p", listing.price(x, none, none, F.lit("AR")))
-    rows = rows.select("k", listing.expenses(x, F.lit("AR"), F.col("p.original"), F.col("p.usd")).alias("e")).filter("e is not null")
+    rows = texts(spark, sf_dir).withColumn("low", S.folded(x)).withColumn("p", S.pinned(S.let(F.col("low"), lambda low: listing.price(x, none, none, F.lit("AR"), low))))
+    rows = rows.select("k", S.pinned(S.let(F.col("low"), lambda low: listing.expenses(x, F.lit("AR"), F.col("p.original"), F.col("p.usd"), low))).alias("e")).filter("e is not null")
     return rows.select("k", *[F.col(f"e.{c}").alias(f"expenses_{c}") for c in ("original", "currency", "usd")])
 
 
